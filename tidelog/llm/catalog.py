@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontam, exact_dedup, html_extract, mixing, simhash, token_output
+from tidelog.llm import decontam, exact_dedup, html_extract, langid, line_template, mixing, quality, simhash, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text."""
+    return langid.language_id(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and classes of near copies."""
     marked = simhash.simhash_components(_table(spark, sf_dir, "documents"))
@@ -28,6 +33,17 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op6_line_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of each document recur, and a digest of what is left."""
+    left = line_template.drop_lines(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every text."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of equal texts stays."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
@@ -43,7 +59,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op4_simhash, op5_decontaminate, op8_exact_dedup, op9_token_output, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_language_id, op4_simhash, op5_decontaminate, op6_line_template, op7_quality, op8_exact_dedup, op9_token_output, op10_html_extract)}
 
 ORACLES = {
     "op5_decontaminate": r"""
@@ -57,6 +73,20 @@ ORACLES = {
         items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS joined FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN counts USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op6_line_template": r"""
+        WITH split AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        raw AS (SELECT doc_id, text, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split),
+        marks AS (SELECT doc_id, pos, line, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' ')] AS t FROM raw),
+        placed AS (SELECT *, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf, array_to_string(t, ' ') AS masked FROM marks WHERE t != ['']),
+        seen AS (SELECT leaf, masked, any_value(t) AS t, count(DISTINCT doc_id) AS n_docs FROM placed GROUP BY leaf, masked),
+        tokens AS (SELECT leaf, masked, n_docs, unnest(t) AS token, unnest(range(len(t))) AS k FROM seen),
+        fixed AS (SELECT leaf, k, token FROM tokens GROUP BY leaf, k, token HAVING sum(n_docs) >= 5),
+        kept AS (SELECT t.leaf, t.masked, t.k, t.token, t.token != '<*>' AND (t.k < 3 OR f.token IS NOT NULL) AS keeps FROM tokens t LEFT JOIN fixed f ON t.leaf = f.leaf AND t.k = f.k AND t.token = f.token),
+        formed AS (SELECT leaf, masked, string_agg(CASE WHEN keeps THEN token ELSE '<*>' END, ' ' ORDER BY k) AS template, avg(keeps::INT) AS share FROM kept GROUP BY leaf, masked),
+        recurring AS (SELECT f.leaf, f.template FROM formed f JOIN placed p USING (leaf, masked) WHERE share >= 0.6 GROUP BY f.leaf, f.template HAVING count(DISTINCT p.doc_id) >= 5),
+        gone AS (SELECT leaf, masked FROM formed JOIN recurring USING (leaf, template) WHERE share >= 0.6),
+        marked AS (SELECT l.doc_id, l.pos, l.line, g.masked IS NOT NULL AS gone_line FROM marks l LEFT JOIN placed p USING (doc_id, pos) LEFT JOIN gone g ON p.leaf = g.leaf AND p.masked = g.masked)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone_line) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone_line), '')) AS kept_sha256 FROM marked GROUP BY doc_id""",
     "op8_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n""",

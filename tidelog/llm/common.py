@@ -86,6 +86,11 @@ def crc32_mod(col: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def unit(*cols: Column) -> Column:
+    """A number in (0, 1) that the columns' hash fixes."""
+    return (F.shiftrightunsigned(F.xxhash64(*cols), 12) + 0.5) / float(1 << 52)
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A binary or text column as bytes."""
     col = batch.column(batch.schema.get_field_index(name))
