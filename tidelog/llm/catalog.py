@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontam, exact_dedup, html_extract, langid, line_template, mixing, quality, simhash, token_output
+from tidelog.llm import decontam, exact_dedup, html_extract, langid, line_template, mixing, quality, simhash, suffix_dedup, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each text repeats elsewhere, and a digest of what is left."""
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and classes of near copies."""
     marked = simhash.simhash_components(_table(spark, sf_dir, "documents"))
@@ -59,7 +64,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_language_id, op4_simhash, op5_decontaminate, op6_line_template, op7_quality, op8_exact_dedup, op9_token_output, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_language_id, op3_suffix_dedup, op4_simhash, op5_decontaminate, op6_line_template, op7_quality, op8_exact_dedup, op9_token_output, op10_html_extract)}
 
 ORACLES = {
     "op5_decontaminate": r"""
