@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.llm.common import kept_table, slices, texts_of
+from tidelog.llm.common import kept_table, slices, texts_of, with_fields
 
 WINDOW = 10
 #: Words of the benchmark whose index is broadcast at once.
@@ -202,7 +203,8 @@ def block_hits(docs: DataFrame, text: str, items: list[tuple[object, bytes | Non
                 arrays += [pa.array(np.diff(starts)), pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array([sorted(names[i] for i in x if names[i] is not None) for x in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, "n_words", "hits", "found"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields), "n_words long, hits array<struct<first:bigint,last:bigint>>, found array<string>"])
+    span = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
+    schema = with_fields(docs.select(*keep), ("n_words", T.LongType()), ("hits", T.ArrayType(span)), ("found", T.ArrayType(T.StringType())))
     return docs.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
@@ -239,6 +241,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return out.select("doc_id", "n_words", "hits", F.array_distinct("found").alias("found"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, all columns, in which no window of an item occurs."""
+    left = docs
+    for block in blocks(benchmark, item_id, "text", block_words):
+        packed = left.select(F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("_all"), F.col(text).alias("_body"))
+        left = block_hits(packed, "_body", block, size).where(F.size("hits") == 0).select("_all.*")
+    return left
+
+
 def digest(marked: DataFrame) -> DataFrame:
     """The counts and the digest that a report needs, from decontaminate()."""
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["last"] - x["first"] + 1)

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.llm.common import crc32_mod, slices, texts_of, unit
+from tidelog.llm.common import crc32_mod, slices, texts_of, unit, with_fields
 
 #: Bytes of an n-gram; labelled rows of each language that are learnt from, about so many at most, by hash; the share of a language's rows that must hold an n-gram (wrong labels stay below it).
 GRAM, SAMPLE, LEAST = 4, 1500, 0.006
@@ -122,13 +123,13 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return Filter.of(names, table["gram"].to_numpy().astype(np.uint64), table["lang"].to_numpy().astype(np.int64))
 
 
-def identify(docs: DataFrame, model: Filter, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and known for each row.
+def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
+    """The other columns of docs (none of them may be named so) with lang_pred, score and known for each row.
 
     lang_pred is a learnt language, or und where the text is null or has no letter; score is the share of the language in the corrected counts of all; known is the share of the text's n-grams that the language contains, 1 for a text too short for any. A text whose n-grams no language contains gets the most frequent language with score 0. Rows that repeat are judged each; no column but the text plays a part. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "known")]
+    keep = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -140,7 +141,7 @@ def identify(docs: DataFrame, model: Filter, doc_id: str = "doc_id", text: str =
                 arrays = [cut.column(i) for i in range(len(keep))] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang_pred", "score", "known"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields), "lang_pred string, score double, known double"])
+    schema = with_fields(docs.select(*keep), ("lang_pred", T.StringType()), ("score", T.DoubleType()), ("known", T.DoubleType()))
     return docs.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
@@ -153,7 +154,7 @@ def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     """doc_id, held_out, lang_pred, score and known: learnt from the rows outside the fold, told for all."""
     model = train(docs.where(~held_out(doc_id)), doc_id, text, lang)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_body"))
-    return identify(slim, model, "doc_id", "_body").select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "known")
+    return identify(slim, model, "_body").select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "known")
 
 
 def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least_known: float = 0.2) -> DataFrame:
@@ -161,5 +162,6 @@ def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     model = train(docs.where(~held_out(doc_id)), doc_id, text, lang)
     if not model.names:  # nothing is known of any language, so nothing can be rejected for it
         return docs
-    told = identify(docs, model, doc_id, text)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("known") >= least_known)).select(*docs.columns)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), F.col(text).alias("_body"))
+    told = identify(packed, model, "_body")
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("known") >= least_known)).select("_all.*")

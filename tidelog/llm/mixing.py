@@ -40,14 +40,14 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, most: float
 
 
 def measured(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
-    """Row number, size in words and a number u in (0, 1) for each row."""
+    """A hash of all columns, a row number, the size in words and a number u in (0, 1) for each row."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(words_pattern())), F.lit(0)).cast("long")
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(source), F.col(text)), 12)
-    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), ((bits + 0.5) / float(1 << 52)).alias("u"))
+    return docs.select(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), ((bits + 0.5) / float(1 << 52)).alias("u"))
 
 
 def pareto_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST, share: float = 1.0, seed: int = 42) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for each row of docs, rows with no copy too.
+    """doc_id, source, size, source_size, target, copies and taken for each row of docs, rows with no copy too; _key is a hash of the whole row.
 
     A size is the number of words; null and empty texts have 0, take no words, and are copied like others. Documents with a null source form a source of their own, the last. Rows that repeat are drawn each on its own; rows that tie in every column share their rank, and the cut falls between them. A source of size 0 has target 0. Other columns of docs play no part, whatever their names. An empty table gives no rows.
     """
@@ -73,7 +73,7 @@ def pareto_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     far = known.where(~F.coalesce(near, F.lit(False))).withColumn("drawn", (F.col("slice") < F.col("at")).cast("int"))
     every = far.drop("left").unionByName(chosen.select(*far.drop("left").columns))
     copies = (F.col("certain") + F.col("drawn")).cast("long")
-    return every.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return every.select("_key", "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def _at_cut(known: DataFrame) -> DataFrame:
@@ -96,6 +96,9 @@ def _at_cut(known: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The rows of docs, each as often as the mix copies it."""
-    copies = pareto_mix(docs, doc_id, text, source, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    return docs.join(copies, F.col(doc_id).eqNullSafe(F.col("_id"))).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The rows of docs, all columns, each as often as the mix copies it."""
+    drawn = kept_table(pareto_mix(docs, doc_id, text, source, **how).groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies")
+    rows = docs.withColumn("_key", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    if drawn.where("_rows > 1").count():  # of rows that repeat one stands for all
+        rows = rows.dropDuplicates(["_key"])
+    return rows.join(drawn.where("_copies > 0"), "_key").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -13,8 +13,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidelog.llm.common import kept_table, lookup, texts_of
+from tidelog.llm.common import kept_table, lookup, texts_of, with_fields
 from tidelog.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -49,17 +50,17 @@ def simhash(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a long, for each row; null and empty texts have 0."""
-    kind = docs.schema[doc_id].dataType
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The other columns of docs and fp, the fingerprint's 64 bits as a long, for each row; null and empty texts have 0."""
+    others = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([simhash(shingle_hashes(x or b"")) for x in texts_of(batch, "text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([simhash(shingle_hashes(x or b"", shingle)) for x in texts_of(batch, "_text")], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], [*others, "fp"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, fp long")
+    rows = docs.select(*others, F.col(text).cast("binary").alias("_text"))
+    return rows.mapInArrow(run, with_fields(docs.select(*others), ("fp", T.LongType())))
 
 
 def cell_keys(fp: np.ndarray, groups: int = GROUPS) -> list[np.ndarray]:
@@ -167,22 +168,35 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def classes(rows: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """fp, n (rows that have it) and root (the smallest fingerprint that links reach) of each fingerprint of rows."""
+    prints = kept_table(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    roots = components(links(prints, groups)).withColumnRenamed("node", "fp")
+    return kept_table(prints.join(roots, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")), "classes")
+
+
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: int = GROUPS) -> DataFrame:
     """(doc_id, fp, component_id) for each row: component_id is the smallest doc_id that links of at most 3 differing bits reach, the row's own included.
 
     Null and empty texts have fingerprint 0 and link like any other; rows that repeat, or share a doc_id, each count; a null doc_id is no identifier, so a component of such rows only has null. Other columns of docs play no part. An empty table gives no rows.
     """
-    rows = kept_table(fingerprints(docs, doc_id, text), "prints")
-    prints = kept_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    roots = components(links(prints, groups))
-    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = kept_table(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "prints")
+    found = classes(rows, groups)
+    own = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = found.join(own, "fp")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = kept_table(rooted.select("fp", "n", "root").join(least, "root").drop("root"), "classes")
+    table = kept_table(rooted.select("fp", "n", "root").join(least, "root").drop("root"), "least")
     return lookup(rows, table, ["fp"], "n", rows.count()).select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, one of each component: that with the smallest doc_id."""
-    marks = simhash_components(docs, doc_id, text)
-    gone = marks.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: int = GROUPS) -> DataFrame:
+    """The rows of docs, all columns, one of each component: that with the smallest doc_id, null last; of rows that tie, one."""
+    keyed = docs.withColumn("_key", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    rows = kept_table(fingerprints(keyed.select(F.col(doc_id).alias("doc_id"), "_key", F.col(text).alias("text"))), "prints")
+    rooted = lookup(rows, classes(rows, groups), ["fp"], "n", rows.count())
+    stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("one"))
+    stays = kept_table(stays.select(F.col("one._key").alias("_key")), "stays")
+    left = keyed.join(stays, "_key", "left_semi")
+    if rows.join(stays, "_key", "left_semi").count() > stays.count():  # some of those that stay are there twice
+        left = left.dropDuplicates(["_key"])
+    return left.drop("_key")
