@@ -1 +1 @@
-
+"""Pieces that turn a format's declarations into Spark columns."""

@@ -1 +1 @@
-
+"""The query language: tokens, predicates, edits; and the registered queries."""

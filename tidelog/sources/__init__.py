@@ -1 +1 @@
-
+"""Formats, files and tables as sources of entries."""
