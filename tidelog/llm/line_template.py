@@ -17,27 +17,35 @@ _WHITE = r"[\x20\x09-\x0D]+"
 _DIGITS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def masked(line: Column) -> Column:
-    """The line's tokens, one space between them, those with a digit as the wildcard."""
-    plain = F.trim(F.regexp_replace(line, _WHITE, " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _DIGITS, F.lit(WILD))).otherwise(plain)
+def spaced(line: Column) -> Column:
+    """The line's tokens with one space between them. Most lines are so already, which plain searches tell for less than a pattern."""
+    odd = F.contains(line, F.lit("  "))
+    for white in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(white))
+    return F.trim(F.when(odd, F.regexp_replace(line, _WHITE, " ")).otherwise(line))
 
 
-def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc (a hash of identifier and text), at, masked and leaf for each line of each row that has a token."""
+def masked(tokens: Column) -> Column:
+    """Tokens with a digit as the wildcard."""
+    return F.when(tokens.rlike("[0-9]"), F.regexp_replace(tokens, _DIGITS, F.lit(WILD))).otherwise(tokens)
+
+
+def lines(docs: DataFrame, doc_id: str, text: str, leading: int = LEADING) -> DataFrame:
+    """doc (a hash of identifier and text), at, tokens and leaf for each line of each row that has a token."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(_key(F.col(doc_id), body).alias("doc"), F.posexplode(F.split(body, "\n", -1)).alias("at", "line"))
-    return rows.select("doc", "at", masked(F.col("line")).alias("masked")).where("masked != ''").withColumn("leaf", leaf("masked"))
+    each = F.transform(F.split(body, "\n", -1), lambda line, at: F.struct(at.alias("at"), spaced(line).alias("tokens")))
+    rows = docs.select(_key(F.col(doc_id), body).alias("doc"), F.inline(each)).where("tokens != ''")
+    return rows.withColumn("leaf", leaf("tokens", leading))
 
 
 def _key(doc_id: Column, body: Column) -> Column:
     return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), doc_id.isNull(), body)
 
 
-def leaf(tokens: str = "masked", leading: int = LEADING) -> Column:
-    """The path of a masked line in the tree, hashed: its number of tokens and the first ones."""
-    n = F.length(tokens) - F.length(F.translate(tokens, " ", "")) + 1
-    return F.xxhash64(n, F.substring_index(tokens, " ", leading))
+def leaf(tokens: str = "tokens", leading: int = LEADING) -> Column:
+    """The path of a line in the tree, hashed: its number of tokens and the first ones, masked."""
+    n = F.octet_length(tokens) - F.octet_length(F.replace(F.col(tokens), F.lit(" "), F.lit(""))) + 1
+    return F.xxhash64(n, masked(F.substring_index(tokens, " ", leading)))
 
 
 def templates(seen: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, constant: float = CONSTANT) -> DataFrame:
@@ -54,7 +62,8 @@ def dropped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_doc
     every = lines(docs, doc_id, text)
     full = kept_table(every.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     # few of all lines share a leaf with enough others: from here on, only those are kept
-    placed = kept_table(every.join(full, "leaf").select("doc", "at", "leaf", "masked", F.xxhash64("masked", "leaf").alias("line")), "lines")
+    shared = every.join(full, "leaf").select("doc", "at", "leaf", masked(F.col("tokens")).alias("masked"))
+    placed = kept_table(shared.withColumn("line", F.xxhash64("masked", "leaf")), "lines")
     per_doc = placed.select("doc", "line").distinct()
     counts = per_doc.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"))
     texts = placed.groupBy("line").agg(F.first("masked").alias("masked"), F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("n_lines"))
@@ -72,10 +81,10 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
 
     A null text counts as empty, which is one line without tokens; such lines always stay. Rows that agree in doc_id and text count as one document, and are answered each. Ties don't arise. Other columns of docs play no part, whatever their names. An empty table gives no rows.
     """
-    gone = dropped(docs, doc_id, text, min_docs).groupBy("doc").agg(F.collect_list("at").alias("gone"))
+    gone = kept_table(dropped(docs, doc_id, text, min_docs).groupBy("doc").agg(F.collect_list("at").alias("gone")), "gone")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), _key(F.col(doc_id), body).alias("doc"))
-    joined = rows.join(gone, "doc", "left").withColumn("all", F.split("text", "\n", -1))
+    joined = rows.join(gone.hint("shuffle_hash"), "doc", "left").withColumn("all", F.split("text", "\n", -1))
     stays = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
     left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda i: F.get(F.col("all"), i)), "\n"))
     return joined.select("doc_id", F.size("all").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"), left.alias("text"))
