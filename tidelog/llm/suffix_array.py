@@ -86,17 +86,22 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return np.array(_induce(values, before_l, before_s, counts, order.tolist()), np.int64)
 
 
-def permuted_prefixes(data: bytes, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each start i, the start that precedes it in the suffix array (-1 for the first), and the length of the prefix that both share.
+def permuted_prefixes(data: bytes, order: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ascending starts (by default all), the start that precedes it in the suffix array (-1 for the first), and the length of the prefix that both share.
 
-    Computed in text order, where the length falls by one at most from one start to the next, so all comparisons are linear. data is the text without its final value; shared prefixes end at its end.
+    Computed in text order, where the length falls by one at most from one start to the next, so over a run of starts all comparisons are linear. data is the text without its final value; shared prefixes end at its end.
     """
     n = len(data)
     inner = order[order < n]
     previous = np.full(n, -1, np.int64)
     previous[inner[1:]] = inner[:-1]
-    out, shared = [0] * n, 0
-    for i, j in enumerate(previous.tolist()):
+    if starts is None:
+        starts = np.arange(n)
+    out, shared, at = [0] * len(starts), 0, -1
+    for k, (i, j) in enumerate(zip(starts.tolist(), previous[starts].tolist(), strict=True)):
+        if i != at + 1:
+            shared = 0
+        at = i
         if j < 0:
             shared = 0
             continue
@@ -107,7 +112,7 @@ def permuted_prefixes(data: bytes, order: np.ndarray) -> tuple[np.ndarray, np.nd
                 shared = stop
             else:
                 shared += 1
-        out[i] = shared
+        out[k] = shared
         if shared:
             shared -= 1
-    return previous, np.array(out, np.int64)
+    return previous[starts], np.array(out, np.int64)

@@ -78,16 +78,16 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarr
     """For each piece, for each of its windows, whether the window's bytes start anywhere else in the pieces."""
     data = b"\xff".join(pieces)  # no UTF-8 text has this byte
     order = suffix_array(np.concatenate([np.frombuffer(data, np.uint8).astype(np.int64) + 1, [0]]))
-    previous, shared = permuted_prefixes(data, order)
+    size = np.array([len(p) for p in pieces])
+    windows = size - length + 1
+    begin = np.cumsum(size + 1) - size - 1
+    starts = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())  # of whole windows
+    previous, shared = permuted_prefixes(data, order, starts)
     hit = np.zeros(len(data), bool)
-    long_ = np.flatnonzero(shared >= length)
-    hit[long_] = True
+    long_ = shared >= length
+    hit[starts[long_]] = True
     hit[previous[long_]] = True
-    out, at = [], 0
-    for p in pieces:
-        out.append(hit[at : at + len(p) - length + 1])
-        at += len(p) + 1
-    return out
+    return [hit[b : b + w] for b, w in zip(begin.tolist(), windows.tolist(), strict=True)]
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
