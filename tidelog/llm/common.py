@@ -99,11 +99,11 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return col.to_pylist()
 
 
-def slices(values: list[bytes], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive values of about limit bytes each, so that work space does not follow the batch size."""
+def slices(values: list[bytes | None] | list[int], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive values (or lengths) of about limit bytes each, so that work space does not follow the batch size."""
     start = size = 0
     for i, x in enumerate(values):
-        size += len(x or b"")
+        size += x if isinstance(x, int) else len(x or b"")
         if size >= limit:
             yield start, i + 1
             start, size = i + 1, 0

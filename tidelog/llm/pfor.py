@@ -29,11 +29,11 @@ def pack(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     v = values.astype(np.uint32)
     least = v.min()
     v = v - least
-    bits = np.sort(np.ceil(np.log2(v.astype(np.float64) + 1)).astype(np.int64))
-    width = int(bits[min(len(bits) - 1, int(percentile * len(bits)))])
+    k = min(len(v) - 1, int(percentile * len(v)))
+    width = int(np.partition(v, k)[k]).bit_length()
     over = np.flatnonzero(v >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    low = v & np.uint32((1 << width) - 1)
-    body = np.packbits(((low[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8), bitorder="little").tobytes() if width else b""
+    bits = np.unpackbits(v.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    body = np.packbits(bits[:, :width], bitorder="little").tobytes()
     high = (v[over] >> np.uint32(width)).astype("<u4").tobytes() if len(over) else b""
     return _HEAD.pack(int(least), width, len(v), len(over)) + body + over.astype("<u4").tobytes() + high
 
@@ -43,11 +43,9 @@ def unpack(data: bytes, at: int = 0) -> np.ndarray:
     least, width, n, n_over = _HEAD.unpack_from(data, at)
     at += _HEAD.size
     size = -(-n * width // 8)
-    if width:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=n * width).reshape(n, width)
-        v = bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
-    else:
-        v = np.zeros(n, np.uint32)
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=n * width).reshape(n, width)
+    v = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
     at += size
     if n_over:
         where = np.frombuffer(data, "<u4", n_over, at)

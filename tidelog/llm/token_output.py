@@ -1,10 +1,11 @@
 """Token-ID output: texts to ids, ids to files of patched frame-of-reference blocks, files back to rows.
 
-The ids of all documents go to a table first, so that a lost executor costs its tasks and no second tokenizing; from there they are dealt by ranges of doc_id, one file for each range, written under a name of its own, which counts only if the task's row in the manifest does. A file's first position follows from the manifest.
+The ids are dealt by ranges of doc_id, whose bounds come from quantiles of doc_id alone, so texts are tokenized once. Each range becomes a file under a name of its own, which counts only if the task's row in the manifest does; a task that runs again writes another. A file's first position follows from the manifest.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -12,15 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fresh_path, kept_table, slices, texts_of
+from tidelog.llm.common import fresh_path, kept_table, slices
 
 END_ID = 1
-#: Pieces whose ids a worker remembers in each of two generations; when one is full, the older goes.
-REMEMBERED = 600_000
+#: Words and other parts whose ids a worker remembers in each of two generations; when one is full, the older goes.
+REMEMBERED = 350_000
+#: Bytes of text that are encoded at once.
+AT_ONCE = 2_500_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,13 +34,32 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 #: Punctuation that may end a piece; the tokenizer splits it from the letters before it.
-TAIL = b".,;:!?|*#$%&-\"()"
+TAIL = ".,;:!?|*#$%&-\"()"
+
+
+def plain_words(tokenizer):
+    """A tokenizer of the same model that takes lower-case ASCII words between spaces, or None.
+
+    Normalization and splitting don't change such words where they only compose characters, fold white space and case, and split letters from the rest; then they need not run.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole = json.loads(tokenizer.to_str())
+    normalizers = (whole["normalizer"] or {}).get("normalizers", [])
+    splits = (whole["pre_tokenizer"] or {}).get("pretokenizers", [])
+    folds = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"}) for x in normalizers) and any(x["type"] == "Lowercase" for x in normalizers)
+    letters = len(splits) == 2 and splits[0]["type"] == "Split" and r"[\p{L}]+" in splits[0]["pattern"].get("Regex", "").split("|") and splits[0]["invert"] and splits[1]["type"] == "ByteLevel" and not splits[1]["use_regex"] and not splits[1]["add_prefix_space"]
+    if not (folds and letters):
+        return None
+    out = Tokenizer(tokenizer.model)
+    out.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return out
 
 
 class Encoder:
     """Ids of texts by a tokenizer that splits words from punctuation and drops the white space between them.
 
-    Such a tokenizer gives a text the ids of its pieces between ASCII white space, one after the other, so each piece is encoded once and remembered. New pieces of letters alone, or with punctuation after them, are encoded many at a time: each is one word to the tokenizer, so its last id is one that ends a word. Where the ends don't number as many as the words, and for all other pieces, each is encoded on its own.
+    Such a tokenizer gives a text the ids of its pieces between ASCII white space, one after the other. A piece of letters, or of letters with punctuation after them, is a word and a tail to it. Arrow cuts a batch into pieces, words and tails and numbers the distinct ones; only those not yet remembered are encoded, and numpy lays the ids out in text order. New words are encoded many at a time: each is one word to the tokenizer, so its last id is one that ends a word. Where the ends don't number as many as the words, and for all other parts, each is encoded on its own.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,63 +67,95 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = plain_words(self.tokenizer)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         size = max(vocabulary.values()) + 1
-        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        self.kind = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(size, bool)
         if suffix:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self._fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _alone(self, pieces: list[bytes]) -> list[bytes]:
-        found = self._fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        words, tails, rest = [], [], []
-        for p in pieces:
-            stem = p.rstrip(TAIL)
-            try:
-                plain = stem.decode().isalpha()
-            except UnicodeDecodeError:
-                plain = False
-            if plain:
-                words.append(stem)
-                tails.append(p[len(stem) :])
-            else:
-                rest.append(p)
-        self.known.update(zip(rest, self._alone(rest), strict=True))
-        new = [t for t in {*tails} if t not in self.known]
-        self.known.update(zip(new, self._alone(new), strict=True))
-        chunks = [b" ".join(words[k : k + 2000]).decode() for k in range(0, len(words), 2000)]
-        ids = np.array([i for e in self._fast(chunks, add_special_tokens=False) for i in e.ids], self.kind)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _alone(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+
+    def _together(self, tokenizer, words: list[str]) -> list[bytes]:
+        chunks = [" ".join(words[k : k + 2000]) for k in range(0, len(words), 2000)]
+        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        ids = np.concatenate([np.empty(0, self.kind), *(np.array(e.ids, self.kind) for e in encode(chunks, add_special_tokens=False))])
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == len(words):
-            data, size = ids.tobytes(), ids.itemsize
-            at = [0, *(ends * size).tolist()]
-            found = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
-        else:
-            found = self._alone(words)
-        known = self.known
-        known.update((w + t, x + known[t]) for w, t, x in zip(words, tails, found, strict=True))
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text and the end id, as bytes of self.kind."""
-        pieces = [(x or b"").split() for x in texts]
-        every = set().union(*pieces)
-        if len(self.known) + len(every) > REMEMBERED:
+        if len(ends) != len(words):
+            return self._alone(words)
+        data, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        at = [0, *(ends * size).tolist()]
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        words = [p for p in parts if p.isalpha() and p == p.lower()]
+        plain = [p for p in words if p.isascii()]
+        other = [p for p in words if not p.isascii()]
+        rest = list({*parts}.difference(words))
+        self.known.update(zip(plain, self._together(self.plain or self.tokenizer, plain), strict=True))
+        self.known.update(zip(other, self._together(self.tokenizer, other), strict=True))
+        self.known.update(zip(rest, self._alone(rest), strict=True))
+
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of the distinct parts."""
+        if len(self.known) + len(parts) > REMEMBERED:
             self.known, self.older = {}, self.known
-        new = every - self.known.keys()
+        new = {*parts} - self.known.keys()
         if old := new & self.older.keys():
             self.known.update((p, self.older[p]) for p in old)
             new -= old
         if new:
             self._learn(list(new))
-        end, get = np.array([END_ID], self.kind).tobytes(), self.known.__getitem__
-        return [b"".join([*map(get, p), end]) for p in pieces]
+        return [*map(self.known.__getitem__, parts)]
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text and the end id, as bytes of self.kind; texts is binary, null is empty."""
+        try:
+            texts = texts.fill_null(b"").cast(pa.string())
+        except pa.ArrowInvalid:  # not all of it is UTF-8
+            texts = pa.array([(x or b"").decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
+        lists = pc.ascii_split_whitespace(texts)
+        numbered = lists.flatten().dictionary_encode()
+        pieces = numbered.dictionary
+        stems = pc.ascii_rtrim(pieces, characters=TAIL)
+        letters = pc.and_not(pc.utf8_is_alpha(stems), pc.match_substring(stems, "\u0130"))  # its lower case ends in a mark
+        size = np.where(letters.to_numpy(zero_copy_only=False), pc.binary_length(stems).to_numpy(zero_copy_only=False), pc.binary_length(pieces).to_numpy(zero_copy_only=False))
+        # every piece as two parts, a word and its tail, or the piece and nothing
+        begin = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1, 4 * pieces.offset)
+        cuts = np.empty(2 * len(pieces) + 1, np.int32)
+        cuts[0::2] = begin
+        cuts[1::2] = begin[:-1] + size
+        parts = pa.Array.from_buffers(pa.string(), 2 * len(pieces), [None, pa.py_buffer(cuts), pieces.buffers()[2]])
+        word = np.zeros(2 * len(pieces), bool)
+        word[0::2] = letters.to_numpy(zero_copy_only=False)
+        parts = pc.if_else(pa.array(word), pc.ascii_lower(parts), parts).dictionary_encode()
+        found = self._ids_of(parts.dictionary.to_pylist())
+        width = self.kind.itemsize
+        flat = np.frombuffer(b"".join(found), self.kind)
+        length = np.fromiter(map(len, found), np.int64, len(found)) // width
+        part = parts.indices.to_numpy(zero_copy_only=False)
+        flat, length = _laid_out(flat, length, part), length[part]
+        length = length[0::2] + length[1::2]
+        piece = numbered.indices.to_numpy(zero_copy_only=False)
+        ids, length = _laid_out(flat, length, piece), length[piece]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        after = upto[lists.offsets.to_numpy()]
+        ids = np.insert(ids, after[1:], self.kind.type(END_ID))
+        offsets = ((after + np.arange(len(after))) * width).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(self.kind.newbyteorder("<")))])
+
+
+def _laid_out(flat: np.ndarray, length: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """flat holds sequences of the given lengths one after the other; gives them in that order."""
+    start = np.cumsum(length) - length
+    n = length[order]
+    shift = np.repeat(start[order] - (np.cumsum(n) - n), n)
+    return flat[shift + np.arange(len(shift))]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -113,17 +168,20 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of each row's whole text and the end id, packed as little-endian integers of two or four bytes."""
+def tokenize(docs: DataFrame, path: str, bounds: list[int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(range, doc_id, ids): the number of the range of doc_id, and the ids of each row's whole text and the end id, packed as little-endian integers of two or four bytes."""
+    edges = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            texts = texts_of(batch, "text")
-            for a, b in slices(texts, 2_000_000):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(enc.encode(texts[a:b]), pa.binary())], ["doc_id", "ids"])
+            texts = batch.column(1)
+            for a, b in slices(pc.binary_length(texts).fill_null(0).to_pylist(), AT_ONCE):
+                ids = batch.column(0).slice(a, b - a)
+                place = np.searchsorted(edges, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(place), ids, enc.encode(texts.slice(a, b - a))], ["range", "doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "range int, doc_id long, ids binary")
 
 
 def write_files(ids: DataFrame, folder: str, width: int, files: int) -> DataFrame:
@@ -149,7 +207,7 @@ def write_files(ids: DataFrame, folder: str, width: int, files: int) -> DataFram
             out.close()
             yield pa.RecordBatch.from_pydict({"file": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [name], "n_docs": [len(writer.ids)], "n_ids": [writer.total]})
 
-    dealt = ids.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.crc32("ids"), "ids")
+    dealt = ids.repartitionById(files, F.col("range")).select("doc_id", "ids").sortWithinPartitions("doc_id", F.crc32("ids"), "ids")
     manifest = kept_table(dealt.mapInArrow(run, "file int, name string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -188,7 +246,9 @@ def token_output(spark: SparkSession, docs: DataFrame, path: str, doc_id: str =
     A null or empty text gives the end id alone. Rows that repeat are written each; rows that tie on doc_id follow one another, in an order that their ids fix; a null doc_id comes first. An empty table writes no file and gives no rows. doc_id is an integer; other columns play no part, whatever their names.
     """
     folder = folder or fresh_path(spark, "tokens")
-    ids = kept_table(tokenize(docs, path, doc_id, text), "ids")
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    manifest = write_files(ids, folder, np.dtype(encoder(path).kind).itemsize, files)
+    at = [k / files for k in range(1, files)]
+    bounds = docs.select(F.percentile_approx(F.col(doc_id).cast("long"), F.array(*map(F.lit, at)), 100 * files)).first()[0] if at else []
+    ids = tokenize(docs, path, bounds or [], doc_id, text)
+    manifest = write_files(ids, folder, encoder(path).kind.itemsize, files)
     return read_files(manifest, folder), folder
