@@ -7,6 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Strings up to this length, as the recursion ends in, are sorted outright.
+SHORT = 100
+#: Machine words that hold an LMS substring, at most, where these are sorted by number; longer ones are sorted by inducing.
+WORDS = 4
+
 
 def classify(s: np.ndarray) -> np.ndarray:
     """For each suffix whether it is smaller than the next; s ends in its unique smallest value."""
@@ -62,11 +67,32 @@ def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return names, int(names[-1]) + 1
 
 
+def _packed(s: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """LMS positions in the order of their substrings, and the substrings' names, from numbers that hold their values; None if they are too long for that.
+
+    A substring ends with the next LMS. If it is the beginning of another one, that one goes on with an L there, which is smaller than the S of the same value; so what stands behind a substring's end counts as larger than all values.
+    """
+    length = np.concatenate([lms[1:], lms[-1:]]) - lms + 1
+    most, behind = int(length.max()), int(s.max()) + 1
+    bits = behind.bit_length()
+    each = 63 // bits
+    words = -(-most // each)
+    if words > WORDS:
+        return None
+    at = lms[:, None] + np.arange(words * each)
+    values = np.where(np.arange(words * each) < length[:, None], s[np.minimum(at, len(s) - 1)], behind)
+    keys = values.reshape(len(lms), words, each) @ (np.int64(1) << (bits * np.arange(each - 1, -1, -1, dtype=np.int64)))
+    order = np.lexsort(keys.T[::-1]) if words > 1 else np.argsort(keys[:, 0], kind="stable")
+    keys = keys[order]
+    return lms[order], np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """The starts of the suffixes of s in order. s holds integers from 0 on and ends in its only 0."""
     n = len(s)
-    if n == 1:
-        return np.zeros(1, np.int64)
+    if n <= SHORT:
+        whole = s.tolist()
+        return np.array(sorted(range(n), key=lambda i: whole[i:]), np.int64)
     small = classify(s)
     is_lms = np.concatenate([[False], small[1:] & ~small[:-1]])
     lms = np.flatnonzero(is_lms)
@@ -75,14 +101,17 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     after_l = np.concatenate([[-1], np.where(small[:-1], -1, place[1:])])
     after_s = np.concatenate([[-1], np.where(small[:-1], place[1:], -1)])
     values, before_l, before_s = s.tolist(), after_l.tolist(), after_s.tolist()
-    rough = np.array(_induce(values, before_l, before_s, counts, lms.tolist()), np.int64)
-    order = rough[is_lms[rough]]
-    names, different = _names(s, lms, order)
+    if (found := _packed(s, lms)) is not None:
+        order, names = found
+        different = int(names[-1]) + 1
+    else:
+        rough = np.array(_induce(values, before_l, before_s, counts, lms.tolist()), np.int64)
+        order = rough[is_lms[rough]]
+        names, different = _names(s, lms, order)
     if different < len(lms):
         named = np.zeros(n, np.int64)
         named[order] = names
         order = lms[suffix_array(named[lms])]
-        return np.array(_induce(values, before_l, before_s, counts, order.tolist()), np.int64)
     return np.array(_induce(values, before_l, before_s, counts, order.tolist()), np.int64)
 
 
