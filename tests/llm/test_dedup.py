@@ -149,8 +149,11 @@ def test_components_of_chains_and_stars(spark):
 # suffix arrays
 
 
+@pytest.mark.parametrize("words", [0, 1, 4, 99])
 @pytest.mark.parametrize("alphabet", [b"a", b"ab", b"abcde"])
-def test_suffix_array(alphabet):
+def test_suffix_array(alphabet, words, monkeypatch):
+    monkeypatch.setattr(suffix_array, "SHORT", 1)
+    monkeypatch.setattr(suffix_array, "WORDS", words)
     rng = random.Random(len(alphabet))
     for _ in range(150):
         data = bytes(rng.choice(alphabet) for _ in range(rng.randint(1, 70)))
@@ -168,6 +171,12 @@ def test_suffix_array(alphabet):
             assert (previous[i], shared[i]) == (j, m)
 
 
+def test_suffix_array_of_a_longer_text(documents):
+    data = " ".join(r["text"] for r in documents.limit(8).collect()).encode()[:6000]
+    order = suffix_array.suffix_array(np.concatenate([np.frombuffer(data, np.uint8).astype(np.int64) + 1, [0]]))
+    assert order.tolist() == sorted(range(len(data) + 1), key=lambda i: data[i:])
+
+
 def brute_repeats(texts, length):
     seen = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     out = []
