@@ -196,6 +196,7 @@ def test_generator_round_trip(spark, tmp_path):
     assert rows == [r["text"] for r in generate(spark, 2000).orderBy("id").collect()]
     s = opened(spark, tmp_path, {"2026-06-02": "\n".join(rows) + "\n"})
     assert s.profile.name == W and s.stats["entries"] == 2000
+    assert 0 < s.footprint()["bytes_per_entry"] < 500
     assert s.add([str(tmp_path / "2026-06-02")]).stats["entries"] == 2000
     s.close()
 

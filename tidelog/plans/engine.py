@@ -229,6 +229,12 @@ class Source:
     def summary(self) -> dict:
         return {"files": [f.name for f in self.files], "entries": self.stats["entries"], "ms": round(self.elapsed * 1000), "skipped": self.skipped, "profile": self.profile.name, "score": f"{int(self.detection.score * 100)} %", "converted": self.converted}
 
+    def footprint(self) -> dict:
+        """Bytes of the stored entries, all and for each entry."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self._tables[-1])
+        size = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+        return {"bytes": size, "bytes_per_entry": size / max(1, self.stats["entries"])}
+
     def add(self, paths: Sequence[str]) -> Source:
         """A source of these files too; a path that is there already counts once."""
         return open_source(self.spark, list(dict.fromkeys([*self.paths, *paths])), self._registry, self.zone)
