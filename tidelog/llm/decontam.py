@@ -21,7 +21,7 @@ from tidelog.llm.common import kept_table, slices, texts_of, with_fields
 
 WINDOW = 10
 #: Words of the benchmark whose index is broadcast at once.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 300_000
 #: Shingle length for rarity and prefixes; shorter windows use their own length.
 SHINGLE = 3
 
