@@ -62,18 +62,18 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)[0]
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """rows joined with a table of one row for each key; weight is its column that counts the key's rows.
 
-    Keys that hold more than 1 / HOT_SHARE of the total rows are at most HOT_SHARE in number, so that part of the table is broadcast and their rows stay where they are; the others are shuffled, and no partition gets more than that share from one key.
+    Keys that hold more than 1 / HOT_SHARE of the total rows are split: their rows are dealt by a hash of all columns over as many parts as keep each within that share, and their row of the table is repeated for each part. Such keys are at most HOT_SHARE in number, and so are what is broadcast; their parts are at most twice as many. No partition gets more than that share from one key, and rows are computed once.
     """
     limit = max(total // HOT_SHARE, 1000)
-    hot = table.where(F.col(weight) > limit)
-    is_hot = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
-    marked = rows.join(is_hot, keys, "left")
-    few = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(hot), keys, "inner")
-    rest = marked.where(F.col("_hot").isNull()).drop("_hot").join(table.where(F.col(weight) <= limit).hint("merge"), keys, how)
-    return few.unionByName(rest)
+    parts = F.ceil(F.col(weight) / limit).cast("int")
+    hot = table.where(F.col(weight) > limit).select(*keys, parts.alias("_parts"))
+    own = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.col("_parts")).cast("int")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(own, F.lit(0))).drop("_parts")
+    spread = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)))))
+    return dealt.join(spread.hint("merge"), [*keys, "_part"]).drop("_part")
 
 
 def words_pattern() -> str:
