@@ -207,7 +207,7 @@ def passages(seed):
     return [*out, out[0], out[0], "ab" * 400, "x" * 700, "short", "", "é" * 150, "é" * 99]
 
 
-@pytest.mark.parametrize(("length", "gram", "wide"), [(200, 72, 20_000), (200, 72, 1), (60, 20, 20_000)])
+@pytest.mark.parametrize(("length", "gram", "wide"), [(200, 72, 4_000), (200, 72, 1), (60, 20, 4_000)])
 def test_repeats_equal_brute_force(make, length, gram, wide):
     texts = passages(length + wide)
     docs = make(list(enumerate(texts)))
@@ -266,3 +266,19 @@ def test_native_operators_run_no_python(documents):
     for out in (exact_dedup.exact_dedup(documents), line_template.drop_lines(documents)):
         plan = out._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|InArrow", plan)
+
+
+def test_lookup_splits_hot_keys(spark):
+    from tidelog.llm import common
+
+    rows = spark.range(20_000).select(F.when(F.col("id") < 7000, F.lit(-1)).otherwise(F.col("id") % 3000).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    out = common.lookup(rows, table, ["k"], "n", 20_000)
+    assert out.columns == ["k", "id", "n"]
+    assert out.count() == 20_000 and out.where("k = -1").agg(F.min("n"), F.max("n")).first()[:] == (7000, 7000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would put small partitions together
+    try:
+        dealt = common.lookup(rows, table, ["k"], "n", 20_000).where("k = -1").groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert dealt > 1
