@@ -79,24 +79,33 @@ class Groups:
         return rf"(?s)\A(?>(?:{marked})\z)\k<tidemark>"
 
 
-def matches(line: Column, groups: Groups) -> Column:
-    """Whether the pattern matches the whole line."""
-    return line.rlike(groups.whole())
+def joined(line: Column, groups: Groups, names: list[str]) -> Column:
+    """The named groups of a line behind separators, from one run of the pattern; a line that doesn't match, or holds the separator, as it is."""
+    parts = "".join(f"{SEPARATOR}${groups.numbers[n]}" for n in names)
+    return F.when(F.contains(line, F.lit(SEPARATOR)), line).otherwise(F.regexp_replace(line, F.lit(groups.whole()), F.lit(parts)))
 
 
-def extracted(line: Column, groups: Groups, names: list[str]) -> dict[str, Column]:
-    """The named groups of a line that matches: null where a group takes no part, '' where it is empty."""
-    numbers = [groups.numbers[n] for n in names]
-    joined = F.regexp_replace(line, F.lit(groups.whole()), F.lit(SEPARATOR.join(f"${n}" for n in numbers)))
-    parts = F.split(joined, SEPARATOR, -1)
-    clear = ~F.contains(line, F.lit(SEPARATOR))
+def joined_matches(found: Column, line: Column, groups: Groups) -> Column:
+    """Whether the line matches, by what joined() made of it; a line with the separator is tested apart."""
+    odd = F.contains(line, F.lit(SEPARATOR))
+    return F.when(odd, line.rlike(groups.whole())).otherwise(F.startswith(found, F.lit(SEPARATOR)))
+
+
+def split_groups(found: Column, line: Column, groups: Groups, names: list[str]) -> dict[str, Column]:
+    """The groups of a line that matches, from what joined() made of it: null where a group takes no part, '' where it is empty."""
+    odd, parts = F.contains(line, F.lit(SEPARATOR)), F.split(found, SEPARATOR, -1)
     out = {}
-    for k, (name, number) in enumerate(zip(names, numbers, strict=True)):
-        value = F.when(clear, F.get(parts, F.lit(k))).otherwise(F.regexp_extract(line, groups.whole(), number))
+    for k, name in enumerate(names):
+        value = F.when(odd, F.regexp_extract(line, groups.whole(), groups.numbers[name])).otherwise(F.get(parts, F.lit(k + 1)))
         out[name] = F.when(value != "", value).when(line.rlike(groups.presence(name)), F.lit(""))
     return out
 
 
+def extracted(line: Column, groups: Groups, names: list[str]) -> dict[str, Column]:
+    """The named groups of a line that matches."""
+    return split_groups(joined(line, groups, names), line, groups, names)
+
+
 @dataclass(frozen=True)
 class LinePredicate:
     """A test at the start of a line. literal: the line must start with it. Otherwise pattern is searched."""

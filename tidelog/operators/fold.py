@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.patterns import extracted
+from tidelog.functions.patterns import joined, joined_matches, split_groups
 from tidelog.sources.profiles import Profile
 
 ENTRY, CONTINUATION, UNRECOGNISED = "entry", "continuation", "unrecognised"
@@ -16,11 +16,14 @@ def parsed(lines: DataFrame, profile: Profile) -> DataFrame:
 
     A time that can't be read (month 13) makes the line no opening.
     """
-    names = [n for n in profile.groups.numbers if n != profile.message_group]
-    wanted = extracted(F.col("text"), profile.groups, [*names, *([profile.message_group] if profile.message_group else [])])
-    fields = F.struct(*(v.alias(k) for k, v in wanted.items()))
-    tried = lines.withColumn("_fields", F.when(profile.parses(F.col("text")), fields))
-    return tried.withColumn("_ms", profile.time.millis(F.col(f"_fields.{profile.time_group}")))
+    names = list(profile.groups.numbers)
+    line = F.col("text")
+    # the pattern runs once, on lines that may open an entry; its result stays a column, so that nothing runs it again
+    tried = lines.withColumn("_joined", F.when(profile.opens.column(line) if profile.opens else F.lit(True), joined(line, profile.groups, names)))
+    opens = F.col("_joined").isNotNull() & joined_matches(F.col("_joined"), line, profile.groups)
+    fields = F.struct(*(v.alias(k) for k, v in split_groups(F.col("_joined"), line, profile.groups, names).items()))
+    found = tried.withColumn("_fields", F.when(opens, fields)).drop("_joined")
+    return found.withColumn("_ms", profile.time.millis(F.col(f"_fields.{profile.time_group}")))
 
 
 def classify(lines: DataFrame, profile: Profile) -> DataFrame:
@@ -28,7 +31,11 @@ def classify(lines: DataFrame, profile: Profile) -> DataFrame:
 
     A line continues where an entry is open, which it is after the first line of the file that parses; else it opens an entry if it parses; else a marker names it.
     """
-    found = parsed(lines, profile)
+    return classify_parsed(parsed(lines, profile), profile)
+
+
+def classify_parsed(found: DataFrame, profile: Profile) -> DataFrame:
+    """The same from parsed(), which is read twice: a table saves parsing twice."""
     opens = F.col("_ms").isNotNull()
     first = found.groupBy("file_id").agg(F.min(F.when(opens, F.col("line_no"))).alias("_first"))
     known = found.join(F.broadcast(first), "file_id", "left")  # a row for each file

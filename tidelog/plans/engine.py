@@ -299,7 +299,8 @@ def open_source(spark: SparkSession, paths: Sequence[str], registry: Registry |
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    classified, at = stored(fold.classify(every, profile), "lines")
+    read, at = stored(fold.parsed(every, profile), "lines")
+    classified = fold.classify_parsed(read, profile)
     folded = merge.merge_time(fold.fold(classified, profile))
     tell("Merging", 0, len(accepted))
     entries, where = numbered(folded, merge.MERGE_KEYS, "entries")
