@@ -63,15 +63,15 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
     return rows.mapInArrow(run, with_fields(docs.select(*others), ("fp", T.LongType())))
 
 
-def cell_keys(fp: np.ndarray, groups: int = GROUPS) -> list[np.ndarray]:
-    """For each choice of groups - 3 groups, the cell of each fingerprint: a hash of the choice and the counts in it."""
+def cell_keys(fp: np.ndarray, groups: int = GROUPS, distance: int = DISTANCE) -> list[np.ndarray]:
+    """For each choice of groups - distance groups, the cell of each fingerprint: a hash of the choice and the counts in it."""
     low = fp & np.uint64(0x5555555555555555)
     high = (fp >> np.uint64(1)) & np.uint64(0x5555555555555555)
     counts = low + high  # 32 fields of two bits, each the popcount of its segment
     ends = [round(32 * k / groups) for k in range(groups + 1)]
     masks = [np.uint64(((1 << (2 * (b - a))) - 1) << (2 * a)) for a, b in zip(ends, ends[1:], strict=False)]
     keys = []
-    for n, chosen in enumerate(combinations(masks, groups - DISTANCE)):
+    for n, chosen in enumerate(combinations(masks, groups - distance)):
         x = (counts & np.bitwise_or.reduce(np.array(chosen, dtype=np.uint64))) ^ np.uint64((n + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -79,33 +79,38 @@ def cell_keys(fp: np.ndarray, groups: int = GROUPS) -> list[np.ndarray]:
     return keys
 
 
-def linked(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A forest that connects what links within DISTANCE connect: among a, or between a and b. Gives pairs of fingerprints."""
-    every = a if b is None else np.concatenate([a, b])
-    side = np.zeros(len(every), bool)
-    side[len(a) :] = True
-    total = np.bitwise_count(every).astype(np.int64)
+def linked(fp: np.ndarray, right: np.ndarray | None = None, distance: int = DISTANCE, wide: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A forest that connects what links connect: (row, row of its root) for each row that is not a root.
+
+    A link is a pair within the distance and, where wide fingerprints are given, within most bits of these. right: only pairs with one row on each side.
+    """
+    total = np.bitwise_count(fp).astype(np.int64)
     order = np.argsort(total, kind="stable")
-    fp, side, total = every[order], side[order], total[order]
+    fp, total = fp[order], total[order]
+    side = right[order] if right is not None else None
+    wide = wide[order] if wide is not None else None
     bytewise = np.bitwise_count(fp.view(np.uint8).reshape(-1, 8)).astype(np.int8)
-    until = np.searchsorted(total, total + DISTANCE, side="right")
+    until = np.searchsorted(total, total + distance, side="right")
+    after = until - np.arange(len(fp)) - 1
+    upto = np.concatenate([[0], np.cumsum(after)])
     root = np.arange(len(fp))
     start = 0
     while start < len(fp):
-        stop, pairs = start, 0
-        while stop < len(fp) and (stop == start or pairs + until[stop] - stop <= 1_000_000):
-            pairs += until[stop] - stop
-            stop += 1
-        n = until[start:stop] - np.arange(start, stop) - 1
+        stop = max(start + 1, int(np.searchsorted(upto, upto[start] + 1_000_000, side="right")) - 1)
+        n = after[start:stop]
         i = np.repeat(np.arange(start, stop), n)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        if b is not None:
+        start = stop
+        if side is not None:
             across = side[i] != side[j]
             i, j = i[across], j[across]
-        near = np.abs(bytewise[i] - bytewise[j]).sum(axis=1) <= DISTANCE
+        near = np.abs(bytewise[i] - bytewise[j]).sum(axis=1) <= distance
         i, j = i[near], j[near]
-        hit = np.bitwise_count(fp[i] ^ fp[j]) <= DISTANCE
+        hit = np.bitwise_count(fp[i] ^ fp[j]) <= distance
         i, j = i[hit], j[hit]
+        if wide is not None:
+            hit = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= most
+            i, j = i[hit], j[hit]
         while len(i):  # hook and jump until the ends of every link agree
             low = np.minimum(root[i], root[j])
             np.minimum.at(root, root[i], low)
@@ -113,65 +118,74 @@ def linked(a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.n
             root = root[root]
             open_ = root[i] != root[j]
             i, j = i[open_], j[open_]
-        start = stop
-    while (up := root[root]).tolist() != root.tolist():
+    while ((up := root[root]) != root).any():
         root = up
     moved = np.flatnonzero(root != np.arange(len(root)))
-    return fp[moved], fp[root[moved]]
+    return order[moved], order[root[moved]]
 
 
-def links(prints: DataFrame, groups: int = GROUPS) -> DataFrame:
-    """(a, b): pairs that connect all fingerprints which links connect; prints has distinct fingerprints in fp."""
+def links(prints: DataFrame, groups: int = GROUPS, distance: int = DISTANCE, most: int | None = None) -> DataFrame:
+    """(a, b): pairs of nodes that connect all nodes which links connect.
+
+    prints has a long node and its fingerprint fp, and where most is given wide, an array of longs that must agree but for so many bits.
+    """
+    extra = [] if most is None else ["wide"]
+    columns = ["cell", "node", "fp", *extra]
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for key in cell_keys(fp.view(np.uint64), groups):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp)], ["cell", "fp"])
+            fp = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for key in cell_keys(fp.view(np.uint64), groups, distance):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), pa.array(fp), *batch.columns[2:]], columns)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (cell, i, j): a pair of blocks at a time."""
 
-    members = kept_table(prints.select("fp").mapInArrow(cells, "cell long, fp long"), "cells")
+        def flush(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            head, node, fp, wide = (np.concatenate(x) for x in zip(*rows, strict=True))
+            right = None if head[0, 1] == head[0, 2] else head[:, 3].astype(bool)
+            a, b = linked(fp.view(np.uint64), right, distance, wide.view(np.uint64) if most is not None else None, most or 0)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            number = lambda k: batch.column(k).cast(pa.int64()).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            head = np.stack([number(k) for k in range(4)], axis=1)
+            wide = batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if most is not None else np.empty((n, 0), np.int64)
+            whole = head, number(4), number(5), np.ascontiguousarray(wide)
+            cuts = [0, *(np.flatnonzero((head[1:, :3] != head[:-1, :3]).any(axis=1)) + 1).tolist(), n]
+            if held and (held[-1][0][-1, :3] != head[0, :3]).any():
+                yield from flush(held)
+                held = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = tuple(x[a:b] for x in whole)
+                if b < n:
+                    if held or b - a > 1:
+                        yield from flush([*held, part])
+                    held = []
+                else:
+                    held.append(part)
+        if held:
+            yield from flush(held)
+
+    schema = "cell long, node long, fp long" + (", wide array<long>" if extra else "")
+    members = kept_table(prints.select("node", "fp", *extra).mapInArrow(cells, schema), "cells")
     sizes = members.groupBy("cell").count().where("count > 1")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    dealt = members.join(sizes, "cell").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("cell", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "fp")
-    return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_compare, "a long, b long")
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (cell, i, j): a pair of blocks at a time."""
-
-    def flush(rows: list[np.ndarray]) -> pa.RecordBatch | None:
-        r = np.concatenate(rows, axis=1)
-        fp, right = r[4].view(np.uint64), r[3].astype(bool)
-        a, b = linked(fp) if r[1, 0] == r[2, 0] else linked(fp[~right], fp[right])
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"]) if len(a) else None
-
-    held: list[np.ndarray] = []
-    for batch in batches:
-        r = np.stack([batch.column(k).cast(pa.int64()).to_numpy(zero_copy_only=False) for k in range(5)])
-        if not r.shape[1]:
-            continue
-        cuts = np.flatnonzero((r[:3, 1:] != r[:3, :-1]).any(axis=0)) + 1
-        parts = np.split(r, cuts, axis=1)
-        if held and (held[-1][:3, -1] != parts[0][:3, 0]).any():
-            if (out := flush(held)) is not None:
-                yield out
-            held = []
-        for part in parts[:-1]:
-            if held or part.shape[1] > 1:
-                if (out := flush([*held, part])) is not None:
-                    yield out
-            held = []
-        held.append(parts[-1])
-    if held and (out := flush(held)) is not None:
-        yield out
+    dealt = members.join(sizes, "cell").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("cell", "node", "fp", *extra, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "node", "fp", *extra)
+    return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(compare, "a long, b long")
 
 
 def classes(rows: DataFrame, groups: int = GROUPS) -> DataFrame:
     """fp, n (rows that have it) and root (the smallest fingerprint that links reach) of each fingerprint of rows."""
     prints = kept_table(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct")
-    roots = components(links(prints, groups)).withColumnRenamed("node", "fp")
+    roots = components(links(prints.select(F.col("fp").alias("node"), "fp"), groups)).withColumnRenamed("node", "fp")
     return kept_table(prints.join(roots, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")), "classes")
 
 
@@ -200,3 +214,59 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grou
     if rows.join(stays, "_key", "left_semi").count() > stays.count():  # some of those that stay are there twice
         left = left.dropDuplicates(["_key"])
     return left.drop("_key")
+
+
+#: Similar texts: five-word shingles, sets, Jaccard 0.8. Word-set fingerprints of such pairs differ in SIMILAR_DISTANCE bits at most (in samples: 97 of 100); of the 256 bits of the shingle-set fingerprint 39 are expected to differ at 0.8, and SIMILAR_BITS leave one standard deviation above.
+SIMILAR_SHINGLE, SIMILAR_DISTANCE, SIMILAR_GROUPS, SIMILAR_BITS, _WORDS = 5, 6, 8, 45, 4
+
+
+def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
+    """More bits of each hash: words numbers for each."""
+    x = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half the rows, as 64-bit numbers; hashes has a column for each."""
+    if not len(hashes):
+        return np.zeros(hashes.shape[1], np.int64)
+    octets = np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), -1)
+    counts = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(octets.shape[1])])
+    return np.packbits(counts * 2 > len(hashes)).view(np.int64)
+
+
+def set_prints(text: bytes, shingle: int = SIMILAR_SHINGLE) -> tuple[int, np.ndarray]:
+    """The 64-bit fingerprint of a text's set of words, and the 256-bit one of its set of shingles."""
+    words = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in {*text.lower().split()}), np.uint64)
+    shingles = np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
+    return int(_majority(words[:, None])[0]), _majority(_spread(shingles, _WORDS))
+
+
+def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, one of each group of similar texts: that with the smallest doc_id, null last; of rows that tie, one.
+
+    Similar are texts whose word-set fingerprints lie within SIMILAR_DISTANCE and whose shingle-set fingerprints within SIMILAR_BITS, which estimates a Jaccard similarity of 0.8 or more on sets of five-word shingles; a group is what such links connect. Null and empty texts are similar to each other only. An empty table gives no rows.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [set_prints(x or b"") for x in texts_of(batch, "text")]
+            wide = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * _WORDS, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *(m[1] for m in made)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.int64()), wide], ["doc_id", "node", "fp", "wide"])
+
+    slim = keyed.select(F.col(doc_id).alias("doc_id"), F.col("_key").alias("node"), F.col(text).cast("binary").alias("text"))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    rows = kept_table(slim.mapInArrow(run, f"doc_id {kind}, node long, fp long, wide array<long>"), "sets")
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    # copies of a row, and rows of equal fingerprints, are one node each
+    nodes = kept_table(rows.groupBy("fp", "wide").agg(F.min(F.struct(one.alias("id"), "node")).alias("one"), F.count(F.lit(1)).alias("n")).select(F.col("one.node").alias("node"), "fp", "wide", "one", "n"), "nodes")
+    roots = components(links(nodes, SIMILAR_GROUPS, SIMILAR_DISTANCE, SIMILAR_BITS))
+    grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = kept_table(grouped.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.node").alias("_key")), "stays")
+    left = keyed.join(stays, "_key", "left_semi")
+    if rows.join(stays.withColumnRenamed("_key", "node"), "node", "left_semi").count() > stays.count():  # some of those that stay are there twice
+        left = left.dropDuplicates(["_key"])
+    return left.drop("_key")
