@@ -33,7 +33,9 @@ def test_stages_work_on_what_is_left(spark, stages):
     (_, d0, a0), (_, d1, a1), (_, d2, a2), (_, d3, a3), (_, d4, a4) = stages
     told = langid.identify(d0.select("doc_id", "text"), langid.train(d0.where(~langid.held_out())))
     assert ids(a0) == ids(told.where("lang_pred != 'und' AND known >= 0.2"))
-    assert ids(a1) == sorted({r["component_id"] for r in simhash.simhash_components(d1).collect()})
+    linked = simhash.near_dedup(d1)
+    assert ids(linked) == sorted({r["component_id"] for r in simhash.simhash_components(d1).collect()})
+    assert ids(a1) == ids(simhash.similar_dedup(linked)) and set(ids(a1)) <= set(ids(linked))
     marked = decontam.decontaminate(d2, spark.read.parquet(f"{SF}/benchmark.parquet"))
     assert ids(a2) == ids(marked.where("size(hits) = 0")) and a2.count() < d2.count()
     copies = {r["doc_id"]: r["copies"] for r in mixing.pareto_mix(d3).collect()}
