@@ -68,7 +68,7 @@ def _profile(name: str) -> Profile:
     return compile_profile((BUNDLED / f"{name}{SUFFIX}").read_text("utf-8"), "UTC")
 
 
-_E = "WITH e AS (SELECT event_id AS entry_id, epoch_us(ts) // 1000 AS ts_ms, list_position(['view','click','signup','purchase','error'], event_type) - 1 AS level_ord, user_id::VARCHAR AS user_id, event_type, props FROM events) "
+_E = "WITH e AS (SELECT event_id AS entry_id, epoch_us(ts) // 1000 AS ts_ms, (list_position(['view','click','signup','purchase','error'], event_type) - 1)::BIGINT AS level_ord, user_id::VARCHAR AS user_id, event_type, props FROM events) "
 _O = "WITH o AS (SELECT o_orderkey AS entry_id, epoch_us(o_orderdate) // 1000 AS ts_ms, o_orderstatus AS status, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority FROM orders) "
 
 
@@ -177,7 +177,7 @@ def sidebar_all(spark: SparkSession, sf: str) -> DataFrame:
     return facets.sidebar(entries, query, EVENT_FACETS, *bounds, 60).withColumn("bucket", F.coalesce("bucket", F.lit(-1)))
 
 
-_L = "WITH e AS (SELECT l_orderkey * 8 + l_linenumber AS entry_id, epoch_us(l_shipdate) // 1000 AS ts_ms, list_position(['N','A','R'], l_returnflag) - 1 AS level_ord, l_linestatus AS status FROM lineitem) "
+_L = "WITH e AS (SELECT l_orderkey * 8 + l_linenumber AS entry_id, epoch_us(l_shipdate) // 1000 AS ts_ms, (list_position(['N','A','R'], l_returnflag) - 1)::BIGINT AS level_ord, l_linestatus AS status FROM lineitem) "
 
 
 @registered(
@@ -305,7 +305,7 @@ def _event_lines(spark: SparkSession, sf: str) -> DataFrame:
     return table.select(F.lit(0).alias("file_id"), F.lit("events").alias("file"), F.floor(F.col("event_id") / 1000).alias("block"), F.col("event_id").alias("at"), line.alias("raw"))
 
 
-@registered("SELECT event_id + 1 AS line_no, epoch_us(ts) // 1000 AS ts_ms, list_position(['view','click','signup','purchase','error'], event_type) - 1 AS level_ord, 'u' || user_id AS tag, props AS message FROM events")
+@registered("SELECT event_id + 1 AS line_no, epoch_us(ts) // 1000 AS ts_ms, (list_position(['view','click','signup','purchase','error'], event_type) - 1)::BIGINT AS level_ord, 'u' || user_id AS tag, props AS message FROM events")
 def parse_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Rendered lines parsed back: time, level, tag, message."""
     entries = _parsed(_event_lines(spark, sf), _profile("withings-healthmate"))
