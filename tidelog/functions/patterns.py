@@ -85,25 +85,25 @@ def joined(line: Column, groups: Groups, names: list[str]) -> Column:
     return F.when(F.contains(line, F.lit(SEPARATOR)), line).otherwise(F.regexp_replace(line, F.lit(groups.whole()), F.lit(parts)))
 
 
-def joined_matches(found: Column, line: Column, groups: Groups) -> Column:
-    """Whether the line matches, by what joined() made of it; a line with the separator is tested apart."""
+def parts_of(found: Column, line: Column, groups: Groups, names: list[str]) -> Column:
+    """The groups as an array, '' for those that take no part, from what joined() made of the line; null if it doesn't match. A line with the separator is matched group by group."""
     odd = F.contains(line, F.lit(SEPARATOR))
-    return F.when(odd, line.rlike(groups.whole())).otherwise(F.startswith(found, F.lit(SEPARATOR)))
+    apart = F.when(line.rlike(groups.whole()), F.array(*(F.regexp_extract(line, groups.whole(), groups.numbers[n]) for n in names)))
+    return F.when(odd, apart).when(F.startswith(found, F.lit(SEPARATOR)), F.slice(F.split(found, SEPARATOR, -1), 2, len(names)))
 
 
-def split_groups(found: Column, line: Column, groups: Groups, names: list[str]) -> dict[str, Column]:
-    """The groups of a line that matches, from what joined() made of it: null where a group takes no part, '' where it is empty."""
-    odd, parts = F.contains(line, F.lit(SEPARATOR)), F.split(found, SEPARATOR, -1)
+def group_values(parts: Column, line: Column, groups: Groups, names: list[str]) -> dict[str, Column]:
+    """Each group of a line that matches: null where it takes no part, '' where it is empty."""
     out = {}
     for k, name in enumerate(names):
-        value = F.when(odd, F.regexp_extract(line, groups.whole(), groups.numbers[name])).otherwise(F.get(parts, F.lit(k + 1)))
+        value = F.get(parts, F.lit(k))
         out[name] = F.when(value != "", value).when(line.rlike(groups.presence(name)), F.lit(""))
     return out
 
 
 def extracted(line: Column, groups: Groups, names: list[str]) -> dict[str, Column]:
     """The named groups of a line that matches."""
-    return split_groups(joined(line, groups, names), line, groups, names)
+    return group_values(parts_of(joined(line, groups, names), line, groups, names), line, groups, names)
 
 
 @dataclass(frozen=True)

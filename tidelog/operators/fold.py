@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.patterns import joined, joined_matches, split_groups
+from tidelog.functions.patterns import group_values, joined, parts_of
 from tidelog.sources.profiles import Profile
 
 ENTRY, CONTINUATION, UNRECOGNISED = "entry", "continuation", "unrecognised"
@@ -17,13 +17,13 @@ def parsed(lines: DataFrame, profile: Profile) -> DataFrame:
     A time that can't be read (month 13) makes the line no opening.
     """
     names = list(profile.groups.numbers)
-    line = F.col("text")
+    line, parts = F.col("text"), F.col("_parts")
     # the pattern runs once, on lines that may open an entry; its result stays a column, so that nothing runs it again
     tried = lines.withColumn("_joined", F.when(profile.opens.column(line) if profile.opens else F.lit(True), joined(line, profile.groups, names)))
-    opens = F.col("_joined").isNotNull() & joined_matches(F.col("_joined"), line, profile.groups)
-    fields = F.struct(*(v.alias(k) for k, v in split_groups(F.col("_joined"), line, profile.groups, names).items()))
-    found = tried.withColumn("_fields", F.when(opens, fields)).drop("_joined")
-    return found.withColumn("_ms", profile.time.millis(F.col(f"_fields.{profile.time_group}")))
+    found = tried.withColumn("_parts", F.when(F.col("_joined").isNotNull(), parts_of(F.col("_joined"), line, profile.groups, names))).drop("_joined")
+    found = found.withColumn("_time", F.get(parts, F.lit(names.index(profile.time_group))))
+    fields = F.struct(*(v.alias(k) for k, v in group_values(parts, line, profile.groups, names).items()))
+    return found.withColumn("_ms", profile.time.millis(F.col("_time"))).withColumn("_fields", F.when(parts.isNotNull(), fields)).drop("_parts", "_time")
 
 
 def classify(lines: DataFrame, profile: Profile) -> DataFrame:
