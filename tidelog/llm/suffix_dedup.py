@@ -21,7 +21,7 @@ from tidelog.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 72
 #: Contexts of a shard that one task sorts, at most; bytes of small shards that share a suffix array (about what a processor's cache holds).
-WIDE, SHARED_BYTES = 1_000, 6_000
+WIDE, SHARED_BYTES = 8_000, 6_000
 #: Windows of a text that are worked on at once.
 CHUNK = 1 << 17
 
