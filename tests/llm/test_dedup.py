@@ -244,7 +244,7 @@ def passages(seed):
     return [*out, out[0], out[0], "ab" * 400, "x" * 700, "short", "", "é" * 150, "é" * 99]
 
 
-@pytest.mark.parametrize(("length", "gram", "wide"), [(200, 72, 1_000), (200, 72, 1), (60, 20, 1_000)])
+@pytest.mark.parametrize(("length", "gram", "wide"), [(200, 72, 8_000), (200, 72, 1), (60, 20, 8_000)])
 def test_repeats_equal_brute_force(make, length, gram, wide):
     texts = passages(length + wide)
     docs = make(list(enumerate(texts)))
