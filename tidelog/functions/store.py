@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,18 +42,23 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def numbered(df: DataFrame, keys: list[str], name: str, column: str = "entry_id") -> tuple[DataFrame, str]:
-    """df with each row's place in the order of keys, from 0, as a table.
+def numbered(df: DataFrame, keys: list[str], name: str, column: str = "entry_id", cheap: bool = False) -> tuple[DataFrame, str]:
+    """df with each row's place in the order of keys, from 0, on a table; and the table's path.
 
-    Rows are dealt by ranges and sorted there; a row's place is the number of rows in the ranges before, and its place in its own. No range holds all rows.
+    Rows are dealt by ranges and sorted there, and stored with their range and their place in it, which Spark's running id holds. A row's place is that, after the rows of the ranges before, which a small table tells. No range holds all rows. What df computes is stored first, as finding the ranges reads it once more; a cheap df is computed twice instead.
     """
     spark = df.sparkSession
-    # counted, not sampled: every range is a set of rows that the stored table fixes
-    ranges = df.repartitionByRange(*(F.col(k) for k in keys)).sortWithinPartitions(*keys).withColumn("_range", F.spark_partition_id())
-    parted, path = stored(ranges, f"{name}-ranges")
-    before = parted.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    own = Window.partitionBy("_range").orderBy(*keys)
-    placed = parted.join(F.broadcast(before), "_range").withColumn(column, F.col("_before") + F.row_number().over(own) - 1)  # before has a row for each partition
-    out = stored(placed.drop("_range", "_before"), name)
-    drop(spark, path)
-    return out
+    base, first = (df, None) if cheap else stored(df, f"{name}-unordered")
+    ranges = base.repartitionByRange(*(F.col(k) for k in keys)).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
+    table, path = stored(ranges, name)
+    if first:
+        drop(spark, first)
+    part = F.shiftright("_place", 33).cast("int")
+    sizes = table.groupBy(part.alias("_part")).count().orderBy("_part").collect()  # a row for each range
+    before, upto = [], 0
+    for r in sizes:
+        before.append((r["_part"], upto))
+        upto += r["count"]
+    known = F.broadcast(spark.createDataFrame(before, "_part int, _before long"))
+    placed = table.withColumn("_part", part).join(known, "_part")
+    return placed.withColumn(column, F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_place"), path

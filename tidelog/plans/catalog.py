@@ -243,7 +243,7 @@ def kway_merge_order(spark: SparkSession, sf: str) -> DataFrame:
     """Three files as one stream, with every entry's place in it."""
     from tidelog.functions.store import numbered
 
-    return numbered(merge.merge_time(_order_files(spark, sf)), merge.MERGE_KEYS, "merged")[0].select("entry_id", "file_id", "seq", "ts_ms")
+    return numbered(merge.merge_time(_order_files(spark, sf)), merge.MERGE_KEYS, "merged", cheap=True)[0].select("entry_id", "file_id", "seq", "ts_ms")
 
 
 @registered(_M + "SELECT file AS value, count(*) AS n FROM f WHERE ts_ms >= 852076800000 GROUP BY 1")

@@ -301,9 +301,10 @@ def open_source(spark: SparkSession, paths: Sequence[str], registry: Registry |
         every = every.unionByName(part)
     read, at = stored(fold.parsed(every, profile), "lines")
     classified = fold.classify_parsed(read, profile)
-    folded = merge.merge_time(fold.fold(classified, profile))
+    folded, once = stored(fold.fold(classified, profile), "folded")
     tell("Merging", 0, len(accepted))
-    entries, where = numbered(folded, merge.MERGE_KEYS, "entries")
+    entries, where = numbered(merge.merge_time(folded), merge.MERGE_KEYS, "entries", cheap=True)
+    drop(spark, once)
     return Source(spark, [p for _, p in listed], profile, best, [File(order[f.file_id], f.name, f.path) for f in accepted], entries, classified, zone, skipped, converted, [*registry.problems], time.time() - began, [at, where], registry)
 
 
