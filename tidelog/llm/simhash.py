@@ -23,6 +23,8 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 GROUPS = 5
 #: Members of a block; a cell with more is compared block against block, each pair of blocks on its own.
 BLOCK = 4096
+#: Pairs that are compared at once.
+PAIRS = 250_000
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -56,8 +58,10 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([simhash(shingle_hashes(x or b"", shingle)) for x in texts_of(batch, "_text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], [*others, "fp"])
+            for start in range(0, batch.num_rows, 1000):
+                cut = batch.slice(start, 1000)
+                fp = np.array([simhash(shingle_hashes(x or b"", shingle)) for x in texts_of(cut, "_text")], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*cut.columns[:-1], pa.array(fp)], [*others, "fp"])
 
     rows = docs.select(*others, F.col(text).cast("binary").alias("_text"))
     return rows.mapInArrow(run, with_fields(docs.select(*others), ("fp", T.LongType())))
@@ -96,7 +100,7 @@ def linked(fp: np.ndarray, right: np.ndarray | None = None, distance: int = DIST
     root = np.arange(len(fp))
     start = 0
     while start < len(fp):
-        stop = max(start + 1, int(np.searchsorted(upto, upto[start] + 1_000_000, side="right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(upto, upto[start] + PAIRS, side="right")) - 1)
         n = after[start:stop]
         i = np.repeat(np.arange(start, stop), n)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
@@ -253,9 +257,11 @@ def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [set_prints(x or b"") for x in texts_of(batch, "text")]
-            wide = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * _WORDS, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *(m[1] for m in made)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.int64()), wide], ["doc_id", "node", "fp", "wide"])
+            for start in range(0, batch.num_rows, 1000):
+                cut = batch.slice(start, 1000)
+                made = [set_prints(x or b"") for x in texts_of(cut, "text")]
+                wide = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * _WORDS, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *(m[1] for m in made)])))
+                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array([m[0] for m in made], pa.int64()), wide], ["doc_id", "node", "fp", "wide"])
 
     slim = keyed.select(F.col(doc_id).alias("doc_id"), F.col("_key").alias("node"), F.col(text).cast("binary").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
