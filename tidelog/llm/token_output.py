@@ -22,7 +22,7 @@ from tidelog.llm.common import fresh_path, kept_table, slices
 
 END_ID = 1
 #: Words and other parts whose ids a worker remembers in each of two generations; when one is full, the older goes.
-REMEMBERED = 180_000
+REMEMBERED = 300_000
 #: Bytes of text that are encoded at once.
 AT_ONCE = 2_500_000
 
