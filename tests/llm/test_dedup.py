@@ -176,6 +176,48 @@ def test_similar_odd(odd, nothing, make):
     assert [r["doc_id"] for r in simhash.similar_dedup(make([(5, "one two three")] * 3)).collect()] == [5]
 
 
+def passage_copies(seed, n=30):
+    """Texts and copies of each with a passage appended, cut off or replaced, at a Jaccard similarity of 0.80 to 0.85."""
+    rng = random.Random(seed)
+    word = lambda: f"w{min(rng.randrange(1, 9000) for _ in range(2))}"
+    texts = []
+    for _ in range(n):
+        words = [word() for _ in range(rng.randint(200, 600))]
+        size = len(words)
+        more, block = int(size * 0.2), int(size * 0.09)
+        cut = rng.randint(10, size - block - 10)
+        texts.append((words, words + [word() for _ in range(more)], words[: int(size * 0.83)], words[:cut] + [word() for _ in range(block)] + words[cut + block :]))
+    return texts
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 4])
+def test_copies_with_another_passage_are_found(make, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    groups = passage_copies(block)
+    assert all(0.8 <= jaccard(g[0], c) < 0.86 for g in groups for c in g[1:])
+    rows = [(10 * k + at, " ".join(g[at])) for k, g in enumerate(groups) for at in (0, 1 + k % 3)]
+    left = {r["doc_id"] for r in simhash.similar_dedup(make(rows)).collect()}
+    assert left == {10 * k for k in range(len(groups))}
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 3])
+def test_similar_equals_brute_force(make, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(block)
+    texts, common = [], [f"c{k}" for k in range(12)]
+    for _ in range(25):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 5, 6, 9, 40, 90]))] + common * rng.randint(0, 1)
+        texts += [words, *([*words[rng.randint(0, len(words) // 9) :], *("ab" * rng.randint(0, len(words) // 8))] for _ in range(3))]
+    root = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if jaccard(a, b) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    left = simhash.similar_dedup(make([(k, " ".join(w)) for k, w in enumerate(texts)]))
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(root))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(200, 200), (300, 299)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

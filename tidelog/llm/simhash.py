@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import kept_table, lookup, texts_of, with_fields
+from tidelog.llm.common import kept_table, lookup, texts_of, unit, with_fields
 from tidelog.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -220,59 +220,190 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grou
     return left.drop("_key")
 
 
-#: Similar texts: five-word shingles, sets, Jaccard 0.8. Word-set fingerprints of such pairs differ in SIMILAR_DISTANCE bits at most (in samples: 97 of 100); of the 256 bits of the shingle-set fingerprint 39 are expected to differ at 0.8, and SIMILAR_BITS leave two standard deviations above.
-SIMILAR_SHINGLE, SIMILAR_DISTANCE, SIMILAR_GROUPS, SIMILAR_BITS, _WORDS = 5, 6, 8, 50, 4
+#: Similar texts: sets of five-word shingles with a Jaccard similarity of 4 / 5 or more. The order of shingles is learnt from about SAMPLED texts: those that OFTEN or more of them hold come last, LISTED of these at most.
+SIMILAR_SHINGLE, SAMPLED, OFTEN, LISTED = 5, 8000, 3, 100_000
 
 
-def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
-    """More bits of each hash: words numbers for each."""
-    x = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """The hashes of a text's different shingles, sorted."""
+    return np.unique(np.array(shingle_hashes(text or b"", SIMILAR_SHINGLE), np.uint64))
+
+
+def is_similar(common: np.ndarray | int, left: np.ndarray | int, right: np.ndarray | int) -> np.ndarray | bool:
+    """Whether sets of left and right members with so many in common have a Jaccard similarity of 4 / 5 or more, in whole numbers."""
+    return 9 * common >= 4 * (left + right)
+
+
+def prefix(members: np.ndarray, listed: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first members of a set, in the order of shingles, one of which every similar set has among its own first ones."""
+    if not len(members):
+        return members
+    count = np.zeros(len(members), np.int64)
+    if len(listed):
+        at = np.minimum(np.searchsorted(listed, members), len(listed) - 1)
+        count = np.where(listed[at] == members, times[at], 0)
+    return members[np.argsort(count, kind="stable")[: len(members) - (4 * len(members) + 4) // 5 + 1]]
+
+
+def _frequent(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts (node, text) hold, sorted, and about how many. It sets an order only, so what a sample misses costs time and no pair."""
+    share = min(1.0, SAMPLED / max(1, total))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in texts_of(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], ["gram"])
+
+    grams = texts.where(unit(F.col("node")) < share).select("text").mapInArrow(run, "gram long")
+    top = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "gram").limit(LISTED).toArrow()
+    listed, n = top["gram"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(listed)
+    return listed[order], np.ceil(n[order] / share).astype(np.int64)
+
+
+def candidates(sets: DataFrame, listed: np.ndarray, times: np.ndarray) -> DataFrame:
+    """(a, b), a < b: the pairs of nodes of sets (node, size, prefix) that share a shingle of their prefixes and may be similar by its places there; every similar pair is among them.
+
+    A shingle is a cell. One that more than BLOCK texts are expected to have is compared block against block, each pair of blocks on its own.
+    """
+    hot = times > BLOCK
+    shared = sets.sparkSession.sparkContext.broadcast((listed[hot], -(-times[hot] // BLOCK)))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, blocks = shared.value
+        for batch in batches:
+            node, size = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            n = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            cell = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n)
+            node, size = np.repeat(node, n), np.repeat(size, n)
+            packed = (size << 32) | (at << 2)
+            if len(hot):
+                found = np.minimum(np.searchsorted(hot, cell), len(hot) - 1)
+                parts = np.where(hot[found] == cell, blocks[found], 1)
+                own = (_mixed(node.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+                other = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                cell, node, packed, own = (np.repeat(x, parts) for x in (cell, node, packed, own))
+                pair = (np.minimum(own, other) << 32) | np.maximum(own, other)
+                cell = np.where(pair > 0, _mixed(cell ^ _mixed(pair.view(np.uint64))), cell)
+                packed = packed | np.where(own == other, 0, np.where(own < other, 1, 2))  # of two blocks, only pairs across
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(node), pa.array(packed)], ["cell", "node", "packed"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (cell, node)."""
+
+        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            first = np.ones(rows.shape[1], bool)
+            first[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)  # equal sets stand there once
+            cell, node, packed = rows[:, first]
+            size, at, side = packed >> 32, (packed & 0xFFFFFFFF) >> 2, packed & 3
+            ends = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell))
+            after = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(cell)) - 1
+            upto = np.concatenate([[0], np.cumsum(after)])
+            start = 0
+            while start < len(cell):
+                stop = max(start + 1, int(np.searchsorted(upto, upto[start] + PAIRS, side="right")) - 1)
+                n = after[start:stop]
+                i = np.repeat(np.arange(start, stop), n)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                start = stop
+                # of a similar pair's first shared shingle, what both have from there on is all that they share
+                may = is_similar(np.minimum(size[i] - at[i], size[j] - at[j]), size[i], size[j]) & ((side[i] != side[j]) | (side[i] == 0))
+                i, j = i[may], j[may]
+                if len(i):
+                    both = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))
+            if held and (cut or held[-1][0, -1] != rows[0, 0]):
+                yield from pairs(np.concatenate([*held, rows[:, :cut]], axis=1))
+                held = []
+            elif cut:
+                yield from pairs(rows[:, :cut])
+            held.append(rows[:, cut:])
+        if held:
+            yield from pairs(np.concatenate(held, axis=1))
+
+    members = sets.select("node", "size", "prefix").mapInArrow(cells, "cell long, node long, packed long")
+    return members.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _majority(hashes: np.ndarray) -> np.ndarray:
-    """The bits that are set in over half the rows, as 64-bit numbers; hashes has a column for each."""
-    if not len(hashes):
-        return np.zeros(hashes.shape[1], np.int64)
-    octets = np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), -1)
-    counts = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(octets.shape[1])])
-    return np.packbits(counts * 2 > len(hashes)).view(np.int64)
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose texts (node, text) are similar, by a count of their shingles."""
 
-
-def set_prints(text: bytes, shingle: int = SIMILAR_SHINGLE) -> tuple[int, np.ndarray]:
-    """The 64-bit fingerprint of a text's set of words, and the 256-bit one of its set of shingles."""
-    words = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in {*text.lower().split()}), np.uint64)
-    shingles = np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
-    return int(_majority(words[:, None])[0]), _majority(_spread(shingles, _WORDS))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, left = None, np.empty(0, np.uint64)
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            first, second = batch.column(2), batch.column(3)
+            hits = []
+            for k, node in enumerate(a):
+                if node != seen:
+                    seen, left = node, shingle_set(first[k].as_py())
+                right = shingle_set(second[k].as_py())
+                if is_similar(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right)):
+                    hits.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in hits], pa.int64()), pa.array([b[k] for k in hits], pa.int64())], ["a", "b"])
+
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, one of each group of similar texts: that with the smallest doc_id, null last; of rows that tie, one.
 
-    Similar are texts whose word-set fingerprints lie within SIMILAR_DISTANCE and whose shingle-set fingerprints within SIMILAR_BITS, which estimates a Jaccard similarity of 0.8 or more on sets of five-word shingles; a group is what such links connect. Null and empty texts are similar to each other only. An empty table gives no rows.
+    Similar are texts whose sets of five-word shingles (64-bit hashes) have a Jaccard similarity of 0.8 or more; a group is what such links connect. Candidates come from an exact prefix filter and are verified by a count of their shingles, so no pair is missed and none is guessed. Null and empty texts are similar to each other only. An empty table gives no rows.
     """
     keyed = docs.withColumn("_key", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    slim = keyed.select(F.col(doc_id).alias("doc_id"), F.col("_key").alias("node"), F.col(text).cast("binary").alias("text"))
+    listed, times = _frequent(slim, docs.count())
+    shared = docs.sparkSession.sparkContext.broadcast((listed, times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 cut = batch.slice(start, 1000)
-                made = [set_prints(x or b"") for x in texts_of(cut, "text")]
-                wide = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * _WORDS, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *(m[1] for m in made)])))
-                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array([m[0] for m in made], pa.int64()), wide], ["doc_id", "node", "fp", "wide"])
+                sets = [shingle_set(x) for x in texts_of(cut, "text")]
+                firsts = [prefix(s, *shared.value) for s in sets]
+                ends = np.cumsum([0, *map(len, firsts)])
+                arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64)))
+                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), arrays], ["doc_id", "_key", "node", "size", "prefix"])
 
-    slim = keyed.select(F.col(doc_id).alias("doc_id"), F.col("_key").alias("node"), F.col(text).cast("binary").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    rows = kept_table(slim.mapInArrow(run, f"doc_id {kind}, node long, fp long, wide array<long>"), "sets")
-    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
-    # copies of a row, and rows of equal fingerprints, are one node each
-    nodes = kept_table(rows.groupBy("fp", "wide").agg(F.min(F.struct(one.alias("id"), "node")).alias("one"), F.count(F.lit(1)).alias("n")).select(F.col("one.node").alias("node"), "fp", "wide", "one", "n"), "nodes")
-    roots = components(links(nodes, SIMILAR_GROUPS, SIMILAR_DISTANCE, SIMILAR_BITS))
+    rows = kept_table(slim.withColumnRenamed("node", "_key").mapInArrow(run, f"doc_id {kind}, _key long, node long, size long, prefix array<long>"), "sets")
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    # equal sets are one node
+    nodes = kept_table(rows.groupBy("node").agg(F.min(one).alias("one")), "nodes")
+    pairs = kept_table(candidates(rows, listed, times), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(asked, "node", "left_semi").select("node", F.col("one._key").alias("_key"))
+    texts = kept_table(slim.select(F.col("node").alias("_key"), "text").join(wanted, "_key").select("node", "text").dropDuplicates(["node"]), "texts")
+    # each node with one other first: that links most of a large group, whose other pairs then need no look
+    star = kept_table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
+    near = kept_table(_verified(star, texts), "near")
+    roots = components(near)
+    ends = pairs.join(star, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    rest = kept_table(ends.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "rest")
+    if not rest.isEmpty():
+        roots = components(near.union(_verified(rest, texts)))
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = kept_table(grouped.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.node").alias("_key")), "stays")
+    stays = kept_table(grouped.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one._key").alias("_key")), "stays")
     left = keyed.join(stays, "_key", "left_semi")
-    if rows.join(stays.withColumnRenamed("_key", "node"), "node", "left_semi").count() > stays.count():  # some of those that stay are there twice
+    if rows.join(stays, "_key", "left_semi").count() > stays.count():  # some of those that stay are there twice
         left = left.dropDuplicates(["_key"])
     return left.drop("_key")
