@@ -76,6 +76,20 @@ def test_mix_follows_the_odds(make):
     assert drawn == {r["doc_id"] for r in rank[: len(drawn)]} and len(drawn) == pytest.approx(100 * p, abs=1)
 
 
+def test_a_gap_is_filled_from_all_later_documents(make, monkeypatch):
+    """A small source in a larger table: the documents in order, each taken where it still fits."""
+    monkeypatch.setattr(mixing, "SLICE", 4)  # slices of one document or none of the small source
+    docs = make([(k, "w " * (4000 if k % 40 == 7 else 3 + k % 5), None, "t" if k < 120 else "s") for k in range(3000)])
+    rows = [r for r in mixing.pareto_mix(docs).collect() if r["source"] == "t"]
+    whole = int(rows[0]["target"] / rows[0]["source_size"] + 1e-12)
+    left, want = rows[0]["target"] - whole * rows[0]["source_size"], set()
+    for r in mixing.measured(docs, "doc_id", "text", "source", 42).where("source = 't'").orderBy("u").collect():
+        if r["size"] <= left:
+            left -= r["size"]
+            want.add(r["doc_id"])
+    assert {r["doc_id"] for r in rows if r["copies"] > whole} == want
+
+
 def test_mix_odd(odd, nothing):
     out = mixing.pareto_mix(odd).collect()
     assert len(out) == odd.count()

@@ -2,7 +2,7 @@
 
 A source with target t and size S takes floor(t / S) whole copies of each document for certain. What is left of the target is met by a sample in which each document is included with probability p = t / S - floor(t / S), unequal between sources: documents are ranked by their random odds u / (1 - u) over their inclusion odds p / (1 - p), and the first ones are taken, as many as the words that are left allow. After that cut, further documents are taken in the same order where they still fit, so that a long document at the cut leaves no gap. u is a hash of the document, so reruns agree.
 
-No source is sorted as a whole. Documents fall into slices of u, whose words are summed first; only the slice that holds a source's cut, and the one after it, is ranked.
+No source is sorted as a whole. Documents fall into slices of u, whose words are summed first; only the slice that holds a source's cut, and the one after it, is ranked. The gap that they leave is filled from later slices, of which only documents that still fit are looked at, until none fits.
 """
 
 from __future__ import annotations
@@ -69,8 +69,10 @@ def pareto_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     plan = kept_table(plan.select(F.col("source").alias("_source"), "source_size", "target", "certain", "p", F.coalesce("cut.slice", F.when(F.col("rest") > 0, F.lit(slices)).otherwise(F.lit(-1))).alias("at"), F.col("cut.left").alias("left")), "plan")
     known = held.join(plan, held["source"].eqNullSafe(plan["_source"])).drop("_source")
     near = (F.col("slice") >= F.col("at")) & (F.col("slice") <= F.col("at") + 1) & F.col("left").isNotNull()
-    chosen = _at_cut(known.where(near))
+    chosen = kept_table(_at_cut(known.where(near)), "chosen")
     far = known.where(~F.coalesce(near, F.lit(False))).withColumn("drawn", (F.col("slice") < F.col("at")).cast("int"))
+    for later in _later(held, chosen):
+        far = far.join(F.broadcast(later), F.col("_row") == F.col("_extra"), "left").withColumn("drawn", F.when(F.col("_extra").isNotNull(), F.lit(1)).otherwise(F.col("drawn"))).drop("_extra")
     every = far.drop("left").unionByName(chosen.select(*far.drop("left").columns))
     copies = (F.col("certain") + F.col("drawn")).cast("long")
     return every.select("_key", "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
@@ -86,13 +88,38 @@ def _at_cut(known: DataFrame) -> DataFrame:
     gap = first.groupBy("source").agg((F.first("left") - F.coalesce(F.sum(F.when(F.col("drawn") == 1, F.col("size"))), F.lit(0))).alias("gap"))
     joined = first.join(gap.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     fitting = joined.where((F.col("drawn") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
-    in_order = F.array_sort(F.collect_list(F.struct("q", "doc_id", "size", "_row")))
+    extra = _packed(fitting, "q").select(F.explode("rows").alias("_extra"))
+    marked = first.join(extra, F.col("_row") == F.col("_extra"), "left")
+    return marked.withColumn("drawn", F.when(F.col("_extra").isNotNull(), F.lit(1)).otherwise(F.col("drawn")))
+
+
+def _packed(fitting: DataFrame, rank: str) -> DataFrame:
+    """source, gap (what is left of it) and rows (those taken): the rows in order of rank, each taken where it fits the gap that the ones before it leave."""
+    in_order = F.array_sort(F.collect_list(F.struct(rank, "doc_id", "size", "_row")))
     start = F.struct(F.first("gap").alias("gap"), F.slice(F.collect_list("_row"), 1, 0).alias("rows"))
     packed = fitting.groupBy("source").agg(in_order.alias("all"), start.alias("start"))
     taken = F.aggregate("all", F.col("start"), lambda acc, x: F.when(x["size"] <= acc["gap"], F.struct((acc["gap"] - x["size"]).alias("gap"), F.concat(acc["rows"], F.array(x["_row"])).alias("rows"))).otherwise(acc))
-    extra = packed.select(F.explode(taken["rows"]).alias("_extra"))
-    marked = first.join(extra, F.col("_row") == F.col("_extra"), "left")
-    return marked.withColumn("drawn", F.when(F.col("_extra").isNotNull(), F.lit(1)).otherwise(F.col("drawn")))
+    return packed.select("source", taken["gap"].alias("gap"), taken["rows"].alias("rows"))
+
+
+def _later(held: DataFrame, chosen: DataFrame) -> list[DataFrame]:
+    """_extra: rows after the two slices at each source's cut that still fit, a table for each round. A round looks at about SLICE documents of a source, or one slice, that fit its gap; the first of them is taken, so gaps shrink until nothing fits."""
+    drawn = F.coalesce(F.sum(F.when(F.col("drawn") == 1, F.col("size"))), F.lit(0))
+    state = kept_table(chosen.groupBy(F.col("source").alias("_s")).agg((F.first("left") - drawn).alias("gap"), (F.first("at") + 1).alias("upto")), "gaps")
+    found = []
+    while True:
+        after = (F.col("slice") > F.col("upto")) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+        fitting = held.join(F.broadcast(state), F.col("source").eqNullSafe(F.col("_s"))).where(after).drop("_s")
+        earlier = F.sum("n").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+        sums = fitting.groupBy("source", "slice").agg(F.count(F.lit(1)).alias("n")).withColumn("earlier", F.coalesce(earlier, F.lit(0)))
+        last = kept_table(sums.where(F.col("earlier") < SLICE).groupBy(F.col("source").alias("_l")).agg(F.max("slice").alias("last")), "last")
+        if last.isEmpty():
+            return found
+        near = fitting.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("_l"))).where(F.col("slice") <= F.col("last"))
+        packed = kept_table(_packed(near, "u"), "packed")
+        found.append(packed.select(F.explode("rows").alias("_extra")))
+        state = packed.join(last, packed["source"].eqNullSafe(F.col("_l"))).select(F.col("_l").alias("_s"), "gap", F.col("last").alias("upto"))
+        state = kept_table(state, "gaps")
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
