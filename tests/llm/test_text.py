@@ -129,6 +129,15 @@ def test_language_is_of_the_text_alone(larger):
     assert a == b
 
 
+def test_more_languages_than_bits_of_a_word(make):
+    rng = random.Random(3)
+    names = [f"l{k:03d}" for k in range(70)]
+    words = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for x in names}
+    rows = [(i, " ".join(rng.choices(words[x], k=30)), x, "s") for i, x in enumerate(names * 8)]
+    want = {r[0]: r[2] for r in rows}
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.language_id(make(rows)).collect()} == want
+
+
 def test_language_odd(odd, nothing, larger):
     out = langid.language_id(odd).collect()
     assert len(out) == odd.count()

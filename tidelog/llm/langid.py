@@ -21,8 +21,8 @@ GRAM, SAMPLE, LEAST = 4, 1500, 0.006
 #: Slots of a table, as a power of two, and tables.
 SLOTS, SLICES = 20, 2
 UNKNOWN = "und"
-#: A mask holds so many languages, the most frequent ones.
-LANGUAGES = 64
+#: Languages of a mask word; a slot has as many words as all languages need.
+WORD = 64
 
 #: ASCII letters stay, other ASCII becomes a space, bytes of other characters stay.
 _FOLD = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
@@ -56,7 +56,7 @@ def slots(values: np.ndarray, bits: int = SLOTS, tables: int = SLICES) -> list[n
 
 @dataclass
 class Filter:
-    """names by bit; masks[k] has the languages of each slot of table k; false positives of a language's bit, from how full its slots are."""
+    """names by bit; masks[k] has the languages of each slot of table k, a row for each WORD of them; false positives of a language's bit, from how full its slots are."""
 
     names: list[str]
     masks: list[np.ndarray]
@@ -65,25 +65,28 @@ class Filter:
     @classmethod
     def of(cls, names: list[str], values: np.ndarray, languages: np.ndarray, bits: int = SLOTS, tables: int = SLICES) -> Filter:
         """From pairs of an n-gram and a language that contains it."""
-        masks = [np.zeros(1 << bits, np.uint64) for _ in range(tables)]
-        bit = np.uint64(1) << languages.astype(np.uint64)
+        masks = [np.zeros((max(1, -(-len(names) // WORD)), 1 << bits), np.uint64) for _ in range(tables)]
+        bit = np.uint64(1) << (languages % WORD).astype(np.uint64)
         for mask, at in zip(masks, slots(values, bits, tables), strict=True):
-            np.bitwise_or.at(mask, at, bit)
-        full = [[float(np.mean(mask >> np.uint64(k) & np.uint64(1))) for k in range(len(names))] for mask in masks]
+            np.bitwise_or.at(mask, (languages // WORD, at), bit)
+        full = [[float(np.mean(mask[k // WORD] >> np.uint64(k % WORD) & np.uint64(1))) for k in range(len(names))] for mask in masks]
         return cls(names, masks, np.prod(full, axis=0) if names else np.empty(0))
 
-    def masks_of(self, values: np.ndarray) -> np.ndarray:
-        """The languages that contain each n-gram; more by false positives, never fewer."""
+    def masks_of(self, values: np.ndarray, word: int = 0) -> np.ndarray:
+        """The languages of a word that contain each n-gram; more by false positives, never fewer."""
         found = None
-        for mask, at in zip(self.masks, slots(values, len(self.masks[0]).bit_length() - 1, len(self.masks)), strict=True):
-            found = mask[at] if found is None else found & mask[at]
+        for mask, at in zip(self.masks, slots(values, self.masks[0].shape[1].bit_length() - 1, len(self.masks)), strict=True):
+            found = mask[word, at] if found is None else found & mask[word, at]
         return found
 
     def counts(self, text: bytes) -> tuple[np.ndarray, int]:
         """The corrected count of each language, and the number of n-grams."""
         values = grams(folded(text))
-        masks, times = np.unique(self.masks_of(values), return_counts=True) if len(values) else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        raw = np.array([times[(masks >> np.uint64(k) & np.uint64(1)) > 0].sum() for k in range(len(self.names))], np.float64)
+        raw = np.zeros(len(self.names), np.float64)
+        for first in range(0, len(self.names) if len(values) else 0, WORD):
+            masks, times = np.unique(self.masks_of(values, first // WORD), return_counts=True)
+            for k in range(first, min(first + WORD, len(self.names))):
+                raw[k] = times[(masks >> np.uint64(k - first) & np.uint64(1)) > 0].sum()
         return np.maximum(0, (raw - len(values) * self.false) / np.maximum(1e-9, 1 - self.false)), len(values)
 
     def predict(self, text: bytes | None) -> tuple[str, float, float]:
@@ -97,15 +100,15 @@ class Filter:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, least: float = LEAST) -> Filter:
-    """A filter from the rows of docs with a text and a language: of each of the LANGUAGES most frequent languages the rows whose hash lies in the share that makes about sample rows.
+    """A filter from the rows of docs with a text and a language: of each language the rows whose hash lies in the share that makes about sample rows.
 
     The rows are a bounded sample, so are their n-grams, which the driver gathers where enough rows hold them.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), unit(F.col(doc_id).cast("string"), F.col(text)).alias("_u"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     names = list(sizes)  # on a tie the more frequent one decides
     if not names:
-        return Filter([], [np.zeros(1 << SLOTS, np.uint64) for _ in range(SLICES)], np.empty(0))
+        return Filter([], [np.zeros((1, 1 << SLOTS), np.uint64) for _ in range(SLICES)], np.empty(0))
     share = F.element_at(F.create_map(*(F.lit(v) for x in names for v in (x, sample / sizes[x]))), F.col("lang"))
     chosen = known.where(F.col("_u") < share)
 
