@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -345,6 +346,104 @@ def test_extract(body, want):
     assert html_extract.extract(PAGE % body) == want
 
 
+P = "<p>This is a paragraph of the article, with some words in it.</p>"
+SAID = "This is a paragraph of the article, with some words in it."
+LINKS = "<ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>About</a></ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # a class tells by whole tokens and their head word, never on an element around the article
+        (f'<div class="layout no-sidebar"><article>{P}</article></div>', SAID),
+        (f'<div class="page with-sidebar"><article>{P}</article></div>', SAID),
+        (f'<div class="sidebar-right"><article>{P}</article></div>', SAID),
+        (f'<aside class="sidebar"><div><main>{P}</main></div></aside>', SAID),
+        (f'<div id="content" class="has-ads">{P}</div>', SAID),
+        (f'<body class="sidebar-open modal">{P}</body>', SAID),
+        (f'<div title="the hidden cost of x" data-class="ad">{P}</div>', SAID),
+        (f"<div hidden><p>not shown</p></div><p data-hidden=1>{SAID}</p>", SAID),
+        # in an article only what the contract names goes
+        (f'<article>{P}<section class="related-work">a</section><section id="search-algorithms">b</section><p id="notice-1">c</p><p class="search">d</p><h2 id="sharing-data">e</h2></article>', f"{SAID} a b c d e"),
+        (f"<article><header><h1>Title</h1></header>{P}<figure><img><figcaption>a caption</figcaption></figure><math><mi>x</mi></math> <object>an object</object></article>", f"Title {SAID} a caption x an object"),
+        (f'<article>{P}<div class="ad-slot">buy</div><div id="comments"><article class="comment">long {P * 9}</article></div>{P}</article>', f"{SAID} {SAID}"),
+        # the marked article does not hold the text
+        (f"<h1>Title</h1>{P}<article><p>Teaser.</p></article>", f"Title {SAID} Teaser."),
+        (f"<aside><article><p>Teaser.</p></article></aside>{P}", SAID),
+        (f"<div>Outside</div><article>{P}</article><div>Outside too</div>", SAID),
+        # nothing is marked
+        (f"{P}<p><a href=x>a paragraph that is a link</a></p>", f"{SAID} a paragraph that is a link"),
+        ("<p><a href=x>all of it is a link</a></p>", "all of it is a link"),
+        (f"{P}<p>a</p><p>b</p><p>c</p><p>d</p><p>last short one</p>", f"{SAID} a b c d last short one"),
+        (f"<p>a</p><p>b</p><p>c</p><p>d</p>{P}", f"a b c d {SAID}"),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"),
+        (f"{LINKS}{P}{LINKS}", SAID),
+        (f"<div><a href=a>Home</a> | <a href=b>News</a> | <a href=c>About</a></div>{P}", SAID),
+        (f"<article>{P}{LINKS}</article>", f"{SAID} Home News About"),
+        (LINKS, ""),
+        # frames, markup that is left open, odd attributes
+        (f"<form action=x><header>Site</header><h1>Title</h1>{P}<input><label>Name</label></form>", f"Title {SAID}"),
+        ("<h1>Contact</h1><form><p>Your name, your address and what you want to tell us</p><input></form>", "Contact"),
+        (f"<nav><a href=x>Home</a><article>{P}</article>", SAID),
+        ("<p class=it's>a</p><p>b's</p><p x='>'>c", "a b's c"),
+        ("a<b>b</b>c &lt;x&gt; &#39; &amp<i>amp;</i> x < y <!-- c --> z<![CDATA[<q>]]>", "abc <x> ' &amp; x < y z<q>"),
+        ("<body><div><p>one<p>two</b></div></div></section>three", "one two three"),
+    ],
+)
+def test_extract_contract(page, want):
+    assert html_extract.extract(page) == want
+
+
+class Walk(HTMLParser):
+    """The text of a page of neutral and of stripped elements, by the library's parser: whether any open element goes."""
+
+    BLOCKS, GONE = {"p", "div", "h1", "li", "ul", "td", "tr", "table", "blockquote", "section", "article", "nav", "footer", "aside"}, {"nav", "footer", "aside", "script", "style"}
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS or tag == "br":
+            self.out.append("\n")
+        if tag != "br":
+            quote = tag == "footer" and self.open[-1][0] == "blockquote"  # whose footer names its source
+            self.open.append((tag, tag in self.GONE and not quote or dict(attrs).get("class") in ("ad", "site-footer", "comments")))
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+        if tag in self.BLOCKS:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not any(gone for _, gone in self.open):
+            self.out.append(data)
+
+
+def test_extract_equals_a_walk_of_the_document():
+    rng = random.Random(7)
+
+    def element(depth):
+        if not depth or rng.random() < 0.3:
+            return rng.choice(["some words ", "a &amp; b\n", " &lt;tag&gt; ", "é\xa0ü  ", "x", "<br>", "<!-- no -->"])
+        tag = rng.choice(["p", "div", "h1", "b", "i", "span", "blockquote", "section", "nav", "footer", "aside", "div class='ad'", "div class=\"site-footer\"", "section id=c class=comments", "div class='no-ads main'", "script", "table"])
+        name = tag.split()[0]
+        if name == "script":
+            return "<script>var x = '<p>no</p>';</script>"
+        if name == "table":
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{element(depth - 2) if depth > 1 else 'cell'}</td>" for _ in range(2)) + "</tr>" for _ in range(2)) + "</table>"
+        inner = "".join(element(0 if name in ("p", "h1", "b", "i", "span") else depth - 1) for _ in range(rng.randint(1, 4)))
+        return f"<{tag}>{inner}</{name}>"
+
+    for _ in range(400):
+        page = "<html><body>" + "".join(element(4) for _ in range(rng.randint(1, 6))) + "</body></html>"
+        walk = Walk()
+        walk.feed(page)
+        walk.close()
+        lines = (" ".join(line.split()) for line in re.split("\x0b", "".join("\x0b" if x == "\n" else x for x in walk.out)))
+        assert html_extract.extract(page) == " ".join(x for x in lines if x)
+
+
 def test_a_page_that_ends_in_a_tag():
     assert html_extract.extract("<nav>n</nav><article><p>tag cut <b") == "tag cut"
 
