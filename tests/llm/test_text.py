@@ -51,6 +51,44 @@ def test_targets(spark):
         assert got == pytest.approx(brute_targets(sizes))
 
 
+def brute_mix(docs, most=3, by_length=mixing.BY_LENGTH):
+    """copies by row: Pareto order sampling of each source by plain sorts, from the same random numbers."""
+    rows = [r.asDict() for r in mixing.measured(docs, "doc_id", "text", "source", 42).collect()]
+    per = defaultdict(list)
+    for r in rows:
+        per[r["source"]].append(r)
+    want = brute_targets({s: sum(r["size"] for r in g) for s, g in per.items()})
+    for s, group in per.items():
+        target, low, high = want[s], 0.0, 1e9
+        g = lambda r: 2.0 ** (by_length * max(0, r["length"]))
+        for _ in range(200):  # the level at which the expected words sum up to the target
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(most, mid * g(r)) * r["size"] for r in group) < target * (1 - 1e-13) else (low, mid)
+        left = target
+        for r in group:
+            e = min(most, high * g(r)) if target else 0.0
+            r["copies"] = int(e + 1e-7)
+            r["p"] = max(0.0, e - r["copies"])
+            left -= r["copies"] * r["size"]
+        u, p = (lambda r: r["u"]), (lambda r: max(r["p"], 1e-9))
+        order = sorted((r for r in group if r["copies"] < most), key=lambda r: (u(r) / (1 - u(r)) * (1 - p(r)) / p(r), r["_row"]))
+        limit, first = float("inf"), left
+        while order and left > 1e-9 and (limit == float("inf") or (left >= 1 and left > mixing.NEAR * target)):
+            taken = 0  # up to the first of those that are small enough that does not fit
+            for r in order:
+                if 0 < r["size"] <= limit and r["size"] > left:
+                    break
+                taken += 1
+                if r["size"] <= limit:
+                    r["copies"] += 1
+                    left -= r["size"]
+            if taken == len(order):
+                break
+            order, limit = order[taken:], left
+        assert first >= 0 or first > -1e-6
+    return rows
+
+
 def test_mix(larger):
     rows = mixing.pareto_mix(larger).collect()
     sizes = {r["doc_id"]: len(WORD.findall(r["text"])) for r in larger.collect()}
@@ -61,34 +99,42 @@ def test_mix(larger):
     want = brute_targets({s: sum(r["size"] for r in g) for s, g in per.items()})
     for s, g in per.items():
         assert g[0]["target"] == pytest.approx(want[s])
-        assert sum(r["taken"] for r in g) == pytest.approx(want[s], rel=0.02)
-        assert len({r["copies"] for r in g}) <= 2  # whole copies of all, and one more of the sample
+        assert want[s] * 0.99 <= sum(r["taken"] for r in g) <= want[s] + 1e-6
     again = mixing.pareto_mix(larger.repartition(5)).collect()
     assert {r["doc_id"]: r["taken"] for r in rows} == {r["doc_id"]: r["taken"] for r in again}
 
 
-def test_mix_follows_the_odds(make):
-    """The sample is the documents with the smallest odds ratio, up to the cut."""
-    docs = make([(k, "w " * 10, None, "s" if k < 300 else "t") for k in range(400)])
-    rows = [r for r in mixing.pareto_mix(docs).collect() if r["source"] == "t"]
-    rank = mixing.measured(docs, "doc_id", "text", "source", 42).where("source = 't'").orderBy("u").collect()
-    p = rows[0]["target"] / rows[0]["source_size"] % 1
-    drawn = {r["doc_id"] for r in rows if r["copies"] > int(rows[0]["target"] / rows[0]["source_size"])}
-    assert drawn == {r["doc_id"] for r in rank[: len(drawn)]} and len(drawn) == pytest.approx(100 * p, abs=1)
+def test_mix_equals_a_plain_pareto_sample(larger):
+    want = {r["doc_id"]: r["copies"] for r in brute_mix(larger)}
+    assert {r["doc_id"]: r["copies"] for r in mixing.pareto_mix(larger).collect()} == want
+    assert len({*want.values()}) == 4
 
 
 def test_a_gap_is_filled_from_all_later_documents(make, monkeypatch):
-    """A small source in a larger table: the documents in order, each taken where it still fits."""
-    monkeypatch.setattr(mixing, "SLICE", 4)  # slices of one document or none of the small source
+    """A small source in a larger table, with documents that are too long for the gap."""
+    monkeypatch.setattr(mixing, "SLICE", 4)
     docs = make([(k, "w " * (4000 if k % 40 == 7 else 3 + k % 5), None, "t" if k < 120 else "s") for k in range(3000)])
-    rows = [r for r in mixing.pareto_mix(docs).collect() if r["source"] == "t"]
-    whole = int(rows[0]["target"] / rows[0]["source_size"] + 1e-12)
-    left, want = rows[0]["target"] - whole * rows[0]["source_size"], set()
-    for r in mixing.measured(docs, "doc_id", "text", "source", 42).where("source = 't'").orderBy("u").collect():
-        if r["size"] <= left:
-            left -= r["size"]
-            want.add(r["doc_id"])
-    assert {r["doc_id"] for r in rows if r["copies"] > whole} == want
+    rows = mixing.pareto_mix(docs).collect()
+    assert {r["doc_id"]: r["copies"] for r in rows} == {r["doc_id"]: r["copies"] for r in brute_mix(docs)}
+
+
+def test_inclusion_is_near_its_probability(make):
+    """Over many draws a document is taken as often as its expected copies say, and longer ones more often."""
+    docs = make([(k, "w " * (4 if k % 2 else 64), None, "s" if k < 4000 else "t") for k in range(4800)])
+    plan = {(r["source"], r["length"]): r["certain"] + r["p"] for r in mixing._draw(docs, "doc_id", "text", "source", (1, 5), 3, 1.0, 0, 0.25)[1].collect()}
+    assert plan["s", 6] > 1.5 * plan["s", 2] > 0
+    took = defaultdict(list)
+    for seed in range(2):
+        for r in mixing.pareto_mix(docs, weights=(1, 5), seed=seed).collect():
+            took[r["source"], r["size"].bit_length() - 1].append(r["copies"])
+    for key in (("s", 2), ("s", 6)):
+        assert np.mean(took[key]) == pytest.approx(plan[key], abs=0.03)
+
+
+def test_rows_that_tie_are_cut_between(make):
+    docs = make([(1, "some words of a row that repeats", None, "s")] * 400 + [(k, "w " * 7, None, "t") for k in range(400)])
+    rows = [r for r in mixing.pareto_mix(docs, weights=(1, 3)).collect() if r["source"] == "s"]
+    assert sum(r["taken"] for r in rows) == pytest.approx(rows[0]["target"], abs=7) and {r["copies"] for r in rows} == {0, 1}
 
 
 def test_mix_odd(odd, nothing):

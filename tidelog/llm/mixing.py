@@ -1,131 +1,181 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source with target t and size S takes floor(t / S) whole copies of each document for certain. What is left of the target is met by a sample in which each document is included with probability p = t / S - floor(t / S), unequal between sources: documents are ranked by their random odds u / (1 - u) over their inclusion odds p / (1 - p), and the first ones are taken, as many as the words that are left allow. After that cut, further documents are taken in the same order where they still fit, so that a long document at the cut leaves no gap. u is a hash of the document, so reruns agree.
+Within a source, a document's expected copies grow with its length: by the power BY_LENGTH of its length class (the power of two below its number of words), as far as MOST allows, so that all expected words sum up to the source's target. The whole part of the expected copies is taken for certain. The fraction p that is left is the document's own inclusion probability: documents are ranked by their random odds u / (1 - u) over their inclusion odds p / (1 - p), and the first ones are taken. The sample's size is fixed in words, the measure of the targets: it is cut at the words that the whole copies leave of the target. After that cut, further documents are taken in the same order where they still fit, so that a long document at the cut leaves no gap. u is a hash of the document, so reruns agree.
 
-No source is sorted as a whole. Documents fall into slices of u, whose words are summed first; only the slice that holds a source's cut, and the one after it, is ranked. The gap that they leave is filled from later slices, of which only documents that still fit are looked at, until none fits.
+No source is sorted as a whole. A rank's place in (0, 1) falls into slices, whose words are summed first; in the slice of a source's cut the words of each place are summed, and only rows that tie at the place of the cut are ranked one by one, a file block of them at most. Each cut is a bound of the rank, and what follows it, of documents that still fit, is cut in the same way until a share of NEAR is left of the target or nothing fits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import kept_table, words_pattern
 
 #: Weights of the sources in code point order, null last, repeating (fixed by the contract), and the most copies of a document.
 WEIGHTS, MOST = (5, 2, 1), 3
+#: The power of a document's length class that its expected copies follow.
+BY_LENGTH = 0.25
 #: Documents of a slice, at least.
-SLICE = 2048
+SLICE = 128
+#: The share of a target that may be missing of the words taken.
+NEAR = 0.001
+#: Shares of a copy below this are rounding.
+_LEAST = 1e-9
+
+
+def _numbered(sources: DataFrame) -> DataFrame:
+    """sources with nth, their place in code point order, null last: dealt by ranges, of which the driver only learns the sizes."""
+    order = F.col("source").asc_nulls_last()
+    table = kept_table(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("_place", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("_place", 33).cast("int")
+    before, upto = [], 0
+    for r in table.groupBy(part.alias("part")).count().orderBy("part").collect():
+        before += [F.lit(r["part"]), F.lit(upto)]
+        upto += r["count"]
+    first = F.element_at(F.create_map(*before), part) if before else F.lit(0)
+    return table.withColumn("nth", first + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_place")
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, share: float = 1.0) -> DataFrame:
     """source, source_size, target from (source, source_size): shares by weight of share times all sizes, none above most times its source, the excess shared again by weight.
 
-    With a level l, targets are least(most * size, l * weight); l is where they sum up. Sources that stop at their bound are those with the least bound for each unit of weight, so one pass in that order finds it.
+    With a level l, targets are least(most * size, l * weight); l is where they sum up. It is found from below: what the sources at their bound leave, by weight among the others, until no further source reaches its bound.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    nth = (F.row_number().over(order) - 1) % len(weights)
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (nth + 1).cast("int"))
-    ranked = sources.withColumn("weight", w).withColumn("bound", F.col("source_size") * float(most))
-    by_room = Window.orderBy(F.col("bound") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after, every = by_room.rowsBetween(Window.unboundedPreceding, -1), by_room.rowsBetween(0, Window.unboundedFollowing), by_room.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("source_size").over(every) * float(share)
-    level = (total - F.coalesce(F.sum("bound").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    tried = ranked.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("bound"))
-    final = F.min(F.when(F.col("fits"), F.struct(F.col("bound") / F.col("weight"), "level"))).over(every)["level"]
-    met = F.least(F.col("bound"), F.coalesce(final, F.lit(float("inf"))) * F.col("weight"))
-    return tried.select("source", "source_size", met.alias("target"))
-
-
-def measured(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
-    """A hash of all columns, a row number, the size in words and a number u in (0, 1) for each row."""
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    ranked = kept_table(_numbered(sources).withColumn("weight", w).withColumn("bound", F.col("source_size") * float(most)), "weights")
+    full, level = -1, 0.0
+    while True:
+        stopped = F.col("bound") <= F.lit(level) * F.col("weight")
+        told = ranked.agg(F.sum("source_size").alias("all"), F.sum(F.when(stopped, F.col("bound"))).alias("stopped"), F.sum(F.when(~stopped, F.col("weight"))).alias("open"), F.count(F.when(stopped, 1)).alias("n")).first()
+        if told["n"] == full or not told["open"]:
+            level = level if told["open"] else float("inf")
+            break
+        full, level = told["n"], (told["all"] * share - (told["stopped"] or 0.0)) / told["open"]
+    met = F.least(F.col("bound"), F.lit(level) * F.col("weight")) if level < float("inf") else F.col("bound")
+    return ranked.select("source", "source_size", met.alias("target"))
+
+
+def _measures(doc_id: str, text: str, source: str, seed: int) -> list[Column]:
+    """size in words, class of length (-1 without words), and u in (0, 1) of a row."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(words_pattern())), F.lit(0)).cast("long")
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(source), F.col(text)), 12)
-    return docs.select(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), ((bits + 0.5) / float(1 << 52)).alias("u"))
-
+    length = F.when(size > 0, F.length(F.bin(size)) - 1).otherwise(F.lit(-1))
+    return [size.alias("size"), length.cast("int").alias("length"), ((bits + 0.5) / float(1 << 52)).alias("u")]
 
-def pareto_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST, share: float = 1.0, seed: int = 42) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for each row of docs, rows with no copy too; _key is a hash of the whole row.
 
-    A size is the number of words; null and empty texts have 0, take no words, and are copied like others. Documents with a null source form a source of their own, the last. Rows that repeat are drawn each on its own; rows that tie in every column share their rank, and the cut falls between them. A source of size 0 has target 0. Other columns of docs play no part, whatever their names. An empty table gives no rows.
-    """
+def measured(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
+    """A row number, doc_id, source, the size in words, the class of length and a number u in (0, 1) for each row."""
+    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *_measures(doc_id, text, source, seed))
+
+
+def _same(a: DataFrame, b: DataFrame, how: str = "inner", *also: str) -> DataFrame:
+    """a joined with b, a row for each of b's sources (and other columns of the same name in both); null is a source."""
+    keys = ["source", *also]
+    other = b.withColumnsRenamed({c: f"_{c}" for c in keys})
+    on = reduce(lambda x, y: x & y, (a[c].eqNullSafe(other[f"_{c}"]) for c in keys))
+    return a.join(other, on, how).drop(*(f"_{c}" for c in keys))
+
+
+def inclusion(classes: DataFrame, most: float = MOST, by_length: float = BY_LENGTH) -> DataFrame:
+    """source, length, certain and p from (source, length, words, target), a row for each class of length of a source: whole copies, and the share of one more."""
+    g = F.pow(F.lit(2.0), F.lit(float(by_length)) * F.greatest("length", F.lit(0)))
+    known = classes.withColumn("g", g).withColumn("weight", F.col("g") * F.col("words")).withColumn("bound", F.col("words") * float(most))
+    by_room = Window.partitionBy("source").orderBy(F.desc("g"), "length")  # a class each: 64 at most
+    every = Window.partitionBy("source")
+    before = F.coalesce(F.sum("bound").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    after = F.sum("weight").over(by_room.rowsBetween(0, Window.unboundedFollowing))
+    tried = known.withColumn("level", F.when(after > 0, (F.col("target") - before) / after))
+    fits = F.col("level") * F.col("g") <= float(most) + _LEAST
+    found = tried.withColumn("level", F.min(F.when(fits & (F.col("words") > 0), F.struct(-F.col("g"), "level"))).over(every)["level"])
+    copies = F.when(F.col("target") > 0, F.least(F.lit(float(most)), F.coalesce(F.col("level") * F.col("g"), F.lit(float(most))))).otherwise(F.lit(0.0))
+    certain = F.floor(copies + _LEAST)
+    p = F.greatest(copies - certain, F.lit(0.0))
+    return found.select("source", "length", certain.alias("certain"), F.when(p < _LEAST, F.lit(0.0)).otherwise(p).alias("p"))
+
+
+def _ranked(rows: DataFrame, plan: DataFrame, most: float) -> DataFrame:
+    """rows with source_size, target, certain and v, the place in (0, 1) of their random odds over their inclusion odds; null for documents that have all copies they may."""
+    p = F.greatest("p", F.lit(_LEAST))
+    odds = F.col("u") * (1 - p)
+    v = F.when(F.col("certain") < most, odds / (odds + (1 - F.col("u")) * p))
+    return _same(rows, plan, "left", "length").withColumn("v", v).drop("p")
+
+
+def _cuts(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """source, low, high, most, gap, target and ends from (source, low, most, gap, target): up to which place, in the order of places after low, documents of at most `most` words fill the gap, and the gap that is then left; ends where all of them fit."""
+    place = F.struct("v", "_row")
+    open_ = _same(rows, state).where((F.col("size") > 0) & (F.col("size") <= F.col("most")) & (place > F.col("low")))
+    fields = ["low", "most", "gap", "target"]
+    by_slice = open_.groupBy("source", "slice").agg(F.sum("size").alias("words"), *(F.first(c).alias(c) for c in fields))
+    walked = by_slice.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("slice")))
+    first = F.min(F.when(F.col("upto") > F.col("gap"), F.struct("slice", (F.col("gap") - F.col("upto") + F.col("words")).alias("left"))))
+    cut = kept_table(walked.groupBy("source").agg(*(F.first(c).alias(c) for c in fields), first.alias("cut"), F.sum("words").alias("words")), "cuts")
+    at = cut.where("cut IS NOT NULL").select("source", F.col("cut.slice").alias("slice"), F.col("cut.left").alias("left"))
+    inside = _same(open_.select("source", "slice", "size", "v", "_row"), at, "inner", "slice")
+    part = F.shiftright("_row", 33)
+    by_place = inside.groupBy("source", "v", part.alias("part")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+    walked = by_place.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("v", "part")))
+    spot = walked.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("v", "part", (F.col("left") - F.col("upto") + F.col("words")).alias("left"))).alias("spot"))
+    ties = _same(inside.drop("left"), spot).where((F.col("v") == F.col("spot.v")) & (part == F.col("spot.part")))
+    walked = ties.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)))
+    fits = F.col("upto") <= F.col("spot.left")
+    last = walked.groupBy("source").agg(F.struct(F.first("spot.v").alias("v"), F.coalesce(F.max(F.when(fits, F.col("_row"))), F.min("_row") - 1).alias("_row")).alias("high"), (F.first("spot.left") - F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0))).alias("rest"))
+    end = F.struct(F.lit(2.0).alias("v"), F.lit(0).cast("long").alias("_row"))
+    found = _same(cut, last, "left")
+    return found.select("source", "low", F.coalesce("high", end).alias("high"), "most", F.coalesce("rest", F.col("gap") - F.col("words")).alias("gap"), "target", F.col("high").isNull().alias("ends"))
+
+
+def _draw(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequence[float], most: float, share: float, seed: int, by_length: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The measured rows, the plan (a row for each class of length of a source) and the cuts (a row for each source): all that decides how often a document is taken."""
     rows = kept_table(measured(docs, doc_id, text, source, seed), "sizes")
-    sources = kept_table(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, share), "targets")
+    classes = kept_table(rows.groupBy("source", "length").agg(F.sum("size").alias("words")), "classes")
+    sources = kept_table(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most, share), "targets")
+    known = _same(classes, sources)
+    plan = kept_table(_same(known, inclusion(known, most, by_length), "inner", "length").select("source", "length", "words", "source_size", "target", "certain", "p"), "plan")
     n = rows.count()
-    slices = -(-n // max(SLICE, int(n**0.5))) or 1
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = sources.withColumn("certain", F.floor(ratio + 1e-12)).withColumn("rest", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0)))
-    plan = plan.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0)))
-    slice_of = F.floor(F.col("u") * slices)
-    held = rows.withColumn("slice", slice_of)
-    sums = held.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("slice")
-    walked = sums.withColumn("upto", F.sum("words").over(upto))
-    joined = walked.join(plan.select("source", "rest"), walked["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    cut = joined.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("rest"), F.struct("slice", (F.col("rest") - F.col("upto") + F.col("words")).alias("left")))).alias("cut"))
-    plan = plan.join(cut.withColumnRenamed("source", "_s"), plan["source"].eqNullSafe(F.col("_s")), "left").drop("_s")
-    plan = kept_table(plan.select(F.col("source").alias("_source"), "source_size", "target", "certain", "p", F.coalesce("cut.slice", F.when(F.col("rest") > 0, F.lit(slices)).otherwise(F.lit(-1))).alias("at"), F.col("cut.left").alias("left")), "plan")
-    known = held.join(plan, held["source"].eqNullSafe(plan["_source"])).drop("_source")
-    near = (F.col("slice") >= F.col("at")) & (F.col("slice") <= F.col("at") + 1) & F.col("left").isNotNull()
-    chosen = kept_table(_at_cut(known.where(near)), "chosen")
-    far = known.where(~F.coalesce(near, F.lit(False))).withColumn("drawn", (F.col("slice") < F.col("at")).cast("int"))
-    for later in _later(held, chosen):
-        far = far.join(F.broadcast(later), F.col("_row") == F.col("_extra"), "left").withColumn("drawn", F.when(F.col("_extra").isNotNull(), F.lit(1)).otherwise(F.col("drawn"))).drop("_extra")
-    every = far.drop("left").unionByName(chosen.select(*far.drop("left").columns))
-    copies = (F.col("certain") + F.col("drawn")).cast("long")
-    return every.select("_key", "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-
-
-def _at_cut(known: DataFrame) -> DataFrame:
-    """Which rows of each source's two slices at its cut are drawn."""
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.greatest(F.col("p"), F.lit(1e-300)) / F.greatest(1 - F.col("p"), F.lit(1e-300)))
-    ranked = known.withColumn("q", odds)
-    by_rank = Window.partitionBy("source").orderBy("q", "doc_id", "size", "_row")
-    walked = ranked.withColumn("upto", F.sum("size").over(by_rank.rowsBetween(Window.unboundedPreceding, 0)))
-    first = kept_table(walked.withColumn("drawn", (F.col("upto") <= F.col("left")).cast("int")), "cut")
-    gap = first.groupBy("source").agg((F.first("left") - F.coalesce(F.sum(F.when(F.col("drawn") == 1, F.col("size"))), F.lit(0))).alias("gap"))
-    joined = first.join(gap.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    fitting = joined.where((F.col("drawn") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
-    extra = _packed(fitting, "q").select(F.explode("rows").alias("_extra"))
-    marked = first.join(extra, F.col("_row") == F.col("_extra"), "left")
-    return marked.withColumn("drawn", F.when(F.col("_extra").isNotNull(), F.lit(1)).otherwise(F.col("drawn")))
-
-
-def _packed(fitting: DataFrame, rank: str) -> DataFrame:
-    """source, gap (what is left of it) and rows (those taken): the rows in order of rank, each taken where it fits the gap that the ones before it leave."""
-    in_order = F.array_sort(F.collect_list(F.struct(rank, "doc_id", "size", "_row")))
-    start = F.struct(F.first("gap").alias("gap"), F.slice(F.collect_list("_row"), 1, 0).alias("rows"))
-    packed = fitting.groupBy("source").agg(in_order.alias("all"), start.alias("start"))
-    taken = F.aggregate("all", F.col("start"), lambda acc, x: F.when(x["size"] <= acc["gap"], F.struct((acc["gap"] - x["size"]).alias("gap"), F.concat(acc["rows"], F.array(x["_row"])).alias("rows"))).otherwise(acc))
-    return packed.select("source", taken["gap"].alias("gap"), taken["rows"].alias("rows"))
-
-
-def _later(held: DataFrame, chosen: DataFrame) -> list[DataFrame]:
-    """_extra: rows after the two slices at each source's cut that still fit, a table for each round. A round looks at about SLICE documents of a source, or one slice, that fit its gap; the first of them is taken, so gaps shrink until nothing fits."""
-    drawn = F.coalesce(F.sum(F.when(F.col("drawn") == 1, F.col("size"))), F.lit(0))
-    state = kept_table(chosen.groupBy(F.col("source").alias("_s")).agg((F.first("left") - drawn).alias("gap"), (F.first("at") + 1).alias("upto")), "gaps")
+    slices = max(1, n // max(SLICE, int(n**0.5)))
+    slim = plan.select("source", "length", "certain", "p")
+    ranked = _ranked(rows, slim, most).where("v IS NOT NULL").select("source", "v", "_row", "size", F.floor(F.col("v") * slices).alias("slice"))
+    start = F.struct(F.lit(-1.0).alias("v"), F.lit(0).cast("long").alias("_row"))
+    gap = F.first("target") - F.sum(F.col("certain") * F.col("words"))
+    state = kept_table(plan.groupBy("source").agg(gap.alias("gap"), F.first("target").alias("target")).where(F.col("gap") > _LEAST).select("source", start.alias("low"), F.lit(1 << 62).alias("most"), "gap", "target"), "gaps")
     found = []
-    while True:
-        after = (F.col("slice") > F.col("upto")) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
-        fitting = held.join(F.broadcast(state), F.col("source").eqNullSafe(F.col("_s"))).where(after).drop("_s")
-        earlier = F.sum("n").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-        sums = fitting.groupBy("source", "slice").agg(F.count(F.lit(1)).alias("n")).withColumn("earlier", F.coalesce(earlier, F.lit(0)))
-        last = kept_table(sums.where(F.col("earlier") < SLICE).groupBy(F.col("source").alias("_l")).agg(F.max("slice").alias("last")), "last")
-        if last.isEmpty():
-            return found
-        near = fitting.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("_l"))).where(F.col("slice") <= F.col("last"))
-        packed = kept_table(_packed(near, "u"), "packed")
-        found.append(packed.select(F.explode("rows").alias("_extra")))
-        state = packed.join(last, packed["source"].eqNullSafe(F.col("_l"))).select(F.col("_l").alias("_s"), "gap", F.col("last").alias("upto"))
-        state = kept_table(state, "gaps")
-
-
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The rows of docs, all columns, each as often as the mix copies it."""
-    drawn = kept_table(pareto_mix(docs, doc_id, text, source, **how).groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies")
-    rows = docs.withColumn("_key", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    if drawn.where("_rows > 1").count():  # of rows that repeat one stands for all
-        rows = rows.dropDuplicates(["_key"])
-    return rows.join(drawn.where("_copies > 0"), "_key").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    while not state.isEmpty():
+        cuts = kept_table(_cuts(ranked, state), "cuts")
+        found.append(cuts.select("source", F.struct("low", "high", "most").alias("cut")))
+        state = cuts.where(~F.col("ends") & (F.col("gap") >= 1) & (F.col("gap") > NEAR * F.col("target"))).select("source", F.col("high").alias("low"), F.floor("gap").alias("most"), "gap", "target")
+    every = reduce(DataFrame.unionByName, found, plan.where("false").select("source", F.struct(start.alias("low"), start.alias("high"), F.lit(1 << 62).alias("most")).alias("cut")))
+    return rows, plan.drop("words"), kept_table(every.groupBy("source").agg(F.collect_list("cut").alias("cuts")), "all-cuts")
+
+
+def _copied(rows: DataFrame, plan: DataFrame, cuts: DataFrame, most: float) -> DataFrame:
+    """rows with source_size, target and copies."""
+    ranked = _same(_ranked(rows, plan, most), cuts, "left")
+    place = F.struct("v", "_row")
+    drawn = F.exists(F.coalesce("cuts", F.array().cast(cuts.schema["cuts"].dataType)), lambda c: (place > c["low"]) & (place <= c["high"]) & (F.col("size") <= c["most"]))
+    return ranked.withColumn("copies", (F.col("certain") + F.coalesce((F.col("v").isNotNull() & drawn).cast("long"), F.lit(0))).cast("long"))
+
+
+def pareto_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, most: int = MOST, share: float = 1.0, seed: int = 42, by_length: float = BY_LENGTH) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken for each row of docs, rows with no copy too.
+
+    A size is the number of words; null and empty texts have 0, take no words, and are drawn like documents of one word. Documents with a null source form a source of their own, the last. Rows that repeat are drawn each on its own; rows that tie in every column share their rank, and a cut falls between them. A source of size 0 has target 0 and no copies. Other columns of docs play no part, whatever their names. An empty table gives no rows.
+    """
+    out = _copied(*_draw(docs, doc_id, text, source, weights, most, share, seed, by_length), most)
+    return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, most: int = MOST, share: float = 1.0, seed: int = 42, by_length: float = BY_LENGTH) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix copies it.
+
+    What decides is small and joined to the rows, which are read once more and not shuffled. Nulls, empty texts and ties as in pareto_mix(); rows that repeat are each copied, a row of a name of ours is no row number; an empty table gives no rows.
+    """
+    _, plan, cuts = _draw(docs, doc_id, text, source, weights, most, share, seed, by_length)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all")
+    rows = docs.select(whole, F.monotonically_increasing_id().alias("_row"), F.col(source).alias("source"), *_measures(doc_id, text, source, seed))
+    copied = _copied(rows, plan, cuts, most).where("copies > 0")
+    return copied.select("_all", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_all.*")
