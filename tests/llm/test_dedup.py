@@ -286,7 +286,7 @@ def passages(seed):
     return [*out, out[0], out[0], "ab" * 400, "x" * 700, "short", "", "é" * 150, "é" * 99]
 
 
-@pytest.mark.parametrize(("length", "gram", "wide"), [(200, 72, 8_000), (200, 72, 1), (60, 20, 8_000)])
+@pytest.mark.parametrize(("length", "gram", "wide"), [(200, 72, 1_000), (200, 72, 1), (60, 20, 3), (60, 20, 1_000)])
 def test_repeats_equal_brute_force(make, length, gram, wide):
     texts = passages(length + wide)
     docs = make(list(enumerate(texts)))
@@ -294,6 +294,33 @@ def test_repeats_equal_brute_force(make, length, gram, wide):
     assert [tuple(r)[1:] for r in out] == brute_repeats([t.encode() for t in texts], length)
 
 
+def test_a_shard_of_ten_times_what_a_suffix_array_takes(make, monkeypatch):
+    """A passage that all texts share, with few and many bytes around it that differ, and some that agree."""
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ij") for _ in range(260))
+    side = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    texts = [side(rng.randint(0, 40), "xy") + passage[rng.randint(0, 40) : 260 - rng.randint(0, 40)] + side(rng.randint(0, 40), "pq") + side(30, "mnop") for _ in range(1200)]
+    levels = []
+    old = suffix_dedup._cores
+    monkeypatch.setattr(suffix_dedup, "_cores", lambda width, *a: (levels.append(width), old(width, *a))[1])
+    out = suffix_dedup.digest(suffix_dedup.remove_repeats(make(list(enumerate(texts))), wide=10)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in out] == brute_repeats([t.encode() for t in texts], 200)
+    assert levels == [16, 4, 1]
+
+
+def test_texts_that_share_a_hash_are_told_apart(make, monkeypatch):
+    """With hashes of few values the seed is drawn anew until no two texts share one."""
+    from pyspark.sql import functions as F
+
+    real, calls = F.xxhash64, []
+    texts = passages(1)[:6]
+    docs = make(list(enumerate(texts)))
+    monkeypatch.setattr(suffix_dedup.F, "xxhash64", lambda *c: (calls.append(1), real(*c) % 64)[1])
+    out = suffix_dedup.digest(suffix_dedup.remove_repeats(docs)).orderBy("doc_id").collect()
+    monkeypatch.undo()
+    assert [tuple(r)[1:] for r in out] == brute_repeats([t.encode() for t in texts], 200) and len(calls) > 2
+
+
 def test_repeats_of_long_texts(monkeypatch, make):
     texts = passages(3)
     body = "".join(texts[:40]) + "y" * 300 + "".join(texts[20:30])
