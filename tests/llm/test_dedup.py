@@ -228,13 +228,11 @@ def test_components_of_chains_and_stars(spark):
 # suffix arrays
 
 
-@pytest.mark.parametrize("words", [0, 1, 4, 99])
 @pytest.mark.parametrize("alphabet", [b"a", b"ab", b"abcde"])
-def test_suffix_array(alphabet, words, monkeypatch):
+def test_suffix_array(alphabet, monkeypatch):
     monkeypatch.setattr(suffix_array, "SHORT", 1)
-    monkeypatch.setattr(suffix_array, "WORDS", words)
     rng = random.Random(len(alphabet))
-    for _ in range(150):
+    for _ in range(400):
         data = bytes(rng.choice(alphabet) for _ in range(rng.randint(1, 70)))
         order = suffix_array.suffix_array(np.concatenate([np.frombuffer(data, np.uint8).astype(np.int64) + 1, [0]]))
         assert order.tolist() == sorted(range(len(data) + 1), key=lambda i: data[i:])
