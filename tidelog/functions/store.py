@@ -3,45 +3,72 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables that this driver has made and not yet dropped.
+_made: dict[str, None] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; on a single machine a temporary folder where that is unset."""
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir; on a single machine a temporary folder where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    where = spark._jvm.org.apache.hadoop.fs.Path(found)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return full.replace("file:/", "file:///", 1).rstrip("/") if re.match("file:/[^/]", full) else full.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A path in the shared folder that nothing uses yet; unless it is lasting, it goes when the driver ends, if not before."""
+    path = f"{shared_dir(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
+    if not lasting:
+        _made[path] = None
+        atexit.register(_quietly, spark, path)
+    return path
 
 
 def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made.pop(path, None)
 
 
 def _quietly(spark: SparkSession, path: str) -> None:
-    try:
-        drop(spark, path)
-    except Exception:  # noqa: BLE001  the session may have ended
-        return
+    if path in _made:
+        try:
+            drop(spark, path)
+        except Exception:  # noqa: BLE001  the session may have ended
+            return
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows as a table, and its path; it goes when the driver ends, if not before."""
+    """The rows as a table, and its path: this cuts the lineage, and a lost executor takes nothing with it. It goes when the driver ends, if not before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_quietly, spark, path)
+    path = fresh_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives, as a table; the tables that it made on the way are dropped."""
+    before = {*_made}
+    out, path = stored(make(), name)
+    for other in [p for p in _made if p not in before and p != path]:
+        drop(spark, other)
+    return out
+
+
 def numbered(df: DataFrame, keys: list[str], name: str, column: str = "entry_id", cheap: bool = False) -> tuple[DataFrame, str]:
     """df with each row's place in the order of keys, from 0, on a table; and the table's path.
 
