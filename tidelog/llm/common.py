@@ -2,60 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Groups above the share 1 / HOT_SHARE of all rows are hot; so there are at most HOT_SHARE of them.
-HOT_SHARE = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    where = spark._jvm.org.apache.hadoop.fs.Path(found)
-    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
-    return full.replace("file:/", "file:///", 1).rstrip("/") if re.match("file:/[^/]", full) else full.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet; it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    return path
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        drop(spark, path)
-    except Exception:  # noqa: BLE001  the session may be gone already
-        pass
+from tidelog.functions.store import drop, finished, fresh_path, shared_dir, stored
 
+__all__ = ["drop", "finished", "fresh_path", "shared_dir", "stored"]
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared store."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows as a table in the shared folder, and its path: this cuts the lineage, and a lost executor takes nothing with it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+#: Groups above the share 1 / HOT_SHARE of all rows are hot; so there are at most HOT_SHARE of them.
+HOT_SHARE = 1000
 
 
 def kept_table(df: DataFrame, name: str) -> DataFrame:
@@ -76,6 +35,22 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, tota
     return dealt.join(spread.hint("merge"), [*keys, "_part"]).drop("_part")
 
 
+def row_key(docs: DataFrame) -> list[Column]:
+    """Two hashes of a whole row, nulls told from values: 128 bits, so that no two different rows share them."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    nulls = F.concat(F.lit(""), *(c.isNull().cast("string") for c in cols))
+    return [F.xxhash64(*cols, nulls), F.xxhash64(F.lit(1), nulls, *reversed(cols))]
+
+
+def stay(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose row_key is in keys (a, b), each key once: rows that repeat are one."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), *(k.alias(n) for k, n in zip(row_key(docs), "ab", strict=True)))
+    left = packed.join(keys, ["a", "b"], "left_semi")
+    if left.select("a", "b").count() > keys.count():
+        left = left.dropDuplicates(["a", "b"])
+    return left.select("_all.*")
+
+
 def words_pattern() -> str:
     """A word: a run of characters that are not ASCII white space (fixed by the contracts)."""
     return r"[^\x20\x09-\x0D]+"

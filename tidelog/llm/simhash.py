@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import kept_table, lookup, texts_of, unit, with_fields
+from tidelog.llm.common import kept_table, lookup, row_key, stay, texts_of, unit, with_fields
 from tidelog.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
-#: Groups of segments; 5 give 10 grids with cells of 26 bits' counts.
-GROUPS = 5
+#: Groups of segments, at least and at most; 5 give 10 grids with cells of 26 bits' counts.
+GROUPS, MOST_GROUPS = 5, 12
+#: What a pair that is compared costs against a row of a grid that is dealt.
+PAIR_COST = 0.1
 #: Members of a block; a cell with more is compared block against block, each pair of blocks on its own.
 BLOCK = 4096
 #: Pairs that are compared at once.
@@ -83,16 +86,21 @@ def cell_keys(fp: np.ndarray, groups: int = GROUPS, distance: int = DISTANCE) ->
     return keys
 
 
-def linked(fp: np.ndarray, right: np.ndarray | None = None, distance: int = DISTANCE, wide: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def groups_for(n: int) -> int:
+    """How many groups cost least for n fingerprints. More of them make more grids, but cells of more bits: a segment's count tells 1.5 bits, so a fingerprint shares a cell with n / 2 ** (48 * (groups - 3) / groups) others; what is compared for a row stays within a bound that n does not raise."""
+    cost = lambda g: comb(g, DISTANCE) * (1 + PAIR_COST * n / 2 ** (48 * (g - DISTANCE) / g))
+    return min(range(GROUPS, MOST_GROUPS + 1), key=cost)
+
+
+def linked(fp: np.ndarray, right: np.ndarray | None = None, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """A forest that connects what links connect: (row, row of its root) for each row that is not a root.
 
-    A link is a pair within the distance and, where wide fingerprints are given, within most bits of these. right: only pairs with one row on each side.
+    A link is a pair within the distance. right: only pairs with one row on each side.
     """
     total = np.bitwise_count(fp).astype(np.int64)
     order = np.argsort(total, kind="stable")
     fp, total = fp[order], total[order]
     side = right[order] if right is not None else None
-    wide = wide[order] if wide is not None else None
     bytewise = np.bitwise_count(fp.view(np.uint8).reshape(-1, 8)).astype(np.int8)
     until = np.searchsorted(total, total + distance, side="right")
     after = until - np.arange(len(fp)) - 1
@@ -112,9 +120,6 @@ def linked(fp: np.ndarray, right: np.ndarray | None = None, distance: int = DIST
         i, j = i[near], j[near]
         hit = np.bitwise_count(fp[i] ^ fp[j]) <= distance
         i, j = i[hit], j[hit]
-        if wide is not None:
-            hit = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= most
-            i, j = i[hit], j[hit]
         while len(i):  # hook and jump until the ends of every link agree
             low = np.minimum(root[i], root[j])
             np.minimum.at(root, root[i], low)
@@ -128,27 +133,22 @@ def linked(fp: np.ndarray, right: np.ndarray | None = None, distance: int = DIST
     return order[moved], order[root[moved]]
 
 
-def links(prints: DataFrame, groups: int = GROUPS, distance: int = DISTANCE, most: int | None = None) -> DataFrame:
-    """(a, b): pairs of nodes that connect all nodes which links connect.
-
-    prints has a long node and its fingerprint fp, and where most is given wide, an array of longs that must agree but for so many bits.
-    """
-    extra = [] if most is None else ["wide"]
-    columns = ["cell", "node", "fp", *extra]
+def links(prints: DataFrame, groups: int = GROUPS, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): pairs of nodes that connect all nodes which links connect. prints has a long node and its fingerprint fp."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for key in cell_keys(fp.view(np.uint64), groups, distance):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), pa.array(fp), *batch.columns[2:]], columns)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), pa.array(fp)], ["cell", "node", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (cell, i, j): a pair of blocks at a time."""
 
         def flush(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            head, node, fp, wide = (np.concatenate(x) for x in zip(*rows, strict=True))
+            head, node, fp = (np.concatenate(x) for x in zip(*rows, strict=True))
             right = None if head[0, 1] == head[0, 2] else head[:, 3].astype(bool)
-            a, b = linked(fp.view(np.uint64), right, distance, wide.view(np.uint64) if most is not None else None, most or 0)
+            a, b = linked(fp.view(np.uint64), right, distance)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
@@ -159,8 +159,7 @@ def links(prints: DataFrame, groups: int = GROUPS, distance: int = DISTANCE, mos
                 continue
             number = lambda k: batch.column(k).cast(pa.int64()).to_numpy(zero_copy_only=False)  # noqa: B023, E731
             head = np.stack([number(k) for k in range(4)], axis=1)
-            wide = batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if most is not None else np.empty((n, 0), np.int64)
-            whole = head, number(4), number(5), np.ascontiguousarray(wide)
+            whole = head, number(4), number(5)
             cuts = [0, *(np.flatnonzero((head[1:, :3] != head[:-1, :3]).any(axis=1)) + 1).tolist(), n]
             if held and (held[-1][0][-1, :3] != head[0, :3]).any():
                 yield from flush(held)
@@ -176,24 +175,24 @@ def links(prints: DataFrame, groups: int = GROUPS, distance: int = DISTANCE, mos
         if held:
             yield from flush(held)
 
-    schema = "cell long, node long, fp long" + (", wide array<long>" if extra else "")
-    members = kept_table(prints.select("node", "fp", *extra).mapInArrow(cells, schema), "cells")
+    members = kept_table(prints.select("node", "fp").mapInArrow(cells, "cell long, node long, fp long"), "cells")
     sizes = members.groupBy("cell").count().where("count > 1")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     dealt = members.join(sizes, "cell").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("cell", "node", "fp", *extra, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "node", "fp", *extra)
+    dealt = dealt.select("cell", "node", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "node", "fp")
     return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(compare, "a long, b long")
 
 
-def classes(rows: DataFrame, groups: int = GROUPS) -> DataFrame:
+def classes(rows: DataFrame, groups: int | None = None) -> DataFrame:
     """fp, n (rows that have it) and root (the smallest fingerprint that links reach) of each fingerprint of rows."""
     prints = kept_table(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    groups = groups or groups_for(prints.count())
     roots = components(links(prints.select(F.col("fp").alias("node"), "fp"), groups)).withColumnRenamed("node", "fp")
     return kept_table(prints.join(roots, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")), "classes")
 
 
-def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: int = GROUPS) -> DataFrame:
+def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for each row: component_id is the smallest doc_id that links of at most 3 differing bits reach, the row's own included.
 
     Null and empty texts have fingerprint 0 and link like any other; rows that repeat, or share a doc_id, each count; a null doc_id is no identifier, so a component of such rows only has null. Other columns of docs play no part. An empty table gives no rows.
@@ -207,20 +206,19 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return lookup(rows, table, ["fp"], "n", rows.count()).select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: int = GROUPS) -> DataFrame:
-    """The rows of docs, all columns, one of each component: that with the smallest doc_id, null last; of rows that tie, one."""
-    keyed = docs.withColumn("_key", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    rows = kept_table(fingerprints(keyed.select(F.col(doc_id).alias("doc_id"), "_key", F.col(text).alias("text"))), "prints")
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: int | None = None) -> DataFrame:
+    """The rows of docs, all columns, one of each component: that with the smallest doc_id, null last; of rows that tie, one.
+
+    Null and empty texts have fingerprint 0 and link like any other; columns of docs may have any names; an empty table gives no rows.
+    """
+    a, b = row_key(docs)
+    rows = kept_table(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), a.alias("a"), b.alias("b"), F.col(text).alias("text"))), "prints")
     rooted = lookup(rows, classes(rows, groups), ["fp"], "n", rows.count())
-    stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("one"))
-    stays = kept_table(stays.select(F.col("one._key").alias("_key")), "stays")
-    left = keyed.join(stays, "_key", "left_semi")
-    if rows.join(stays, "_key", "left_semi").count() > stays.count():  # some of those that stay are there twice
-        left = left.dropDuplicates(["_key"])
-    return left.drop("_key")
+    stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")).alias("one"))
+    return stay(docs, kept_table(stays.select("one.a", "one.b"), "stays"))
 
 
-#: Similar texts: sets of five-word shingles with a Jaccard similarity of 4 / 5 or more. The order of shingles is learnt from about SAMPLED texts: those that OFTEN or more of them hold come last, LISTED of these at most.
+#: Similar texts: sets of five-word shingles with a cosine, the similarity that SimHash stands for, of 4 / 5 or more. The order of shingles is learnt from about SAMPLED texts: those that OFTEN or more of them hold come last, LISTED of these at most.
 SIMILAR_SHINGLE, SAMPLED, OFTEN, LISTED = 5, 8000, 3, 100_000
 
 
@@ -230,19 +228,19 @@ def shingle_set(text: bytes | None) -> np.ndarray:
 
 
 def is_similar(common: np.ndarray | int, left: np.ndarray | int, right: np.ndarray | int) -> np.ndarray | bool:
-    """Whether sets of left and right members with so many in common have a Jaccard similarity of 4 / 5 or more, in whole numbers."""
-    return 9 * common >= 4 * (left + right)
+    """Whether sets of left and right members with so many in common have a cosine, common / sqrt(left * right), of 4 / 5 or more, in whole numbers."""
+    return 25 * common * common >= 16 * left * right
 
 
 def prefix(members: np.ndarray, listed: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The first members of a set, in the order of shingles, one of which every similar set has among its own first ones."""
+    """The first members of a set, in the order of shingles, one of which every similar set has among its own first ones: similar sets share 16 / 25 of the members of each at least."""
     if not len(members):
         return members
     count = np.zeros(len(members), np.int64)
     if len(listed):
         at = np.minimum(np.searchsorted(listed, members), len(listed) - 1)
         count = np.where(listed[at] == members, times[at], 0)
-    return members[np.argsort(count, kind="stable")[: len(members) - (4 * len(members) + 4) // 5 + 1]]
+    return members[np.argsort(count, kind="stable")[: len(members) - (16 * len(members) + 24) // 25 + 1]]
 
 
 def _frequent(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -364,33 +362,27 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, one of each group of similar texts: that with the smallest doc_id, null last; of rows that tie, one.
 
-    Similar are texts whose sets of five-word shingles (64-bit hashes) have a Jaccard similarity of 0.8 or more; a group is what such links connect. Candidates come from an exact prefix filter and are verified by a count of their shingles, so no pair is missed and none is guessed. Null and empty texts are similar to each other only. An empty table gives no rows.
+    Similar are texts whose sets of five-word shingles (64-bit hashes) have a cosine of 0.8 or more; a group is what such links connect. Candidates come from an exact prefix filter and are verified by a count of their shingles, so no pair is missed and none is guessed. Null and empty texts are similar to each other only; columns of docs may have any names; an empty table gives no rows.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    slim = keyed.select(F.col(doc_id).alias("doc_id"), F.col("_key").alias("node"), F.col(text).cast("binary").alias("text"))
-    listed, times = _frequent(slim, docs.count())
+    a, b = row_key(docs)
+    slim = docs.select(F.col(doc_id).alias("doc_id"), a.alias("a"), b.alias("b"), F.col(text).cast("binary").alias("text"))
+    listed, times = _frequent(slim.select(F.col("a").alias("node"), "text"), docs.count())
     shared = docs.sparkSession.sparkContext.broadcast((listed, times))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                cut = batch.slice(start, 1000)
-                sets = [shingle_set(x) for x in texts_of(cut, "text")]
-                firsts = [prefix(s, *shared.value) for s in sets]
-                ends = np.cumsum([0, *map(len, firsts)])
-                arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64)))
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), arrays], ["doc_id", "_key", "node", "size", "prefix"])
-
     kind = slim.schema["doc_id"].dataType.simpleString()
-    rows = kept_table(slim.withColumnRenamed("node", "_key").mapInArrow(run, f"doc_id {kind}, _key long, node long, size long, prefix array<long>"), "sets")
-    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
-    # equal sets are one node
-    nodes = kept_table(rows.groupBy("node").agg(F.min(one).alias("one")), "nodes")
+    seed = SEED - 1
+    while True:
+        seed += 1
+        made = slim.mapInArrow(_sets(shared, seed), f"doc_id {kind}, a long, b long, node long, sure long, size long, prefix array<long>")
+        rows = kept_table(made, "sets")
+        one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
+        # equal sets are one node; two hashes tell whether it is one set
+        nodes = kept_table(rows.groupBy("node").agg(F.min(one).alias("one"), (F.min("sure") != F.max("sure")).alias("clash")), "nodes")
+        if nodes.where("clash").isEmpty():
+            break
     pairs = kept_table(candidates(rows, listed, times), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(asked, "node", "left_semi").select("node", F.col("one._key").alias("_key"))
-    texts = kept_table(slim.select(F.col("node").alias("_key"), "text").join(wanted, "_key").select("node", "text").dropDuplicates(["node"]), "texts")
+    wanted = nodes.join(asked, "node", "left_semi").select("node", "one.a", "one.b")
+    texts = kept_table(slim.select("a", "b", "text").join(wanted, ["a", "b"]).select("node", "text").dropDuplicates(["node"]), "texts")
     # each node with one other first: that links most of a large group, whose other pairs then need no look
     star = kept_table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
     near = kept_table(_verified(star, texts), "near")
@@ -402,8 +394,22 @@ def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     if not rest.isEmpty():
         roots = components(near.union(_verified(rest, texts)))
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = kept_table(grouped.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one._key").alias("_key")), "stays")
-    left = keyed.join(stays, "_key", "left_semi")
-    if rows.join(stays, "_key", "left_semi").count() > stays.count():  # some of those that stay are there twice
-        left = left.dropDuplicates(["_key"])
-    return left.drop("_key")
+    stays = grouped.groupBy("root").agg(F.min("one").alias("one")).select("one.a", "one.b")
+    return stay(docs, kept_table(stays, "stays"))
+
+
+def _sets(shared, seed: int):
+    """Rows (doc_id, a, b, text): two hashes of each text's shingle set, its size and its prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                cut = batch.slice(start, 1000)
+                sets = [shingle_set(x) for x in texts_of(cut, "text")]
+                firsts = [prefix(s, *shared.value) for s in sets]
+                ends = np.cumsum([0, *map(len, firsts)])
+                arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64)))
+                halves = [pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), x) for s in sets], np.uint64).view(np.int64)) for x in (seed, seed + 1)]
+                yield pa.RecordBatch.from_arrays([*cut.columns[:3], *halves, pa.array([len(s) for s in sets], pa.int64()), arrays], ["doc_id", "a", "b", "node", "sure", "size", "prefix"])
+
+    return run
