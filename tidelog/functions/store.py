@@ -60,13 +60,13 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make gives, as a table; the tables that it made on the way are dropped."""
+def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """What make gives, as a table, and its path; the tables that it made on the way are dropped."""
     before = {*_made}
     out, path = stored(make(), name)
     for other in [p for p in _made if p not in before and p != path]:
         drop(spark, other)
-    return out
+    return out, path
 
 
 def numbered(df: DataFrame, keys: list[str], name: str, column: str = "entry_id", cheap: bool = False) -> tuple[DataFrame, str]:
