@@ -4,6 +4,7 @@ import importlib.util
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidelog.llm import catalog, decontam, langid, mixing, simhash
@@ -48,6 +49,24 @@ def test_run_gives_the_last_stage(spark, stages):
     assert key(corpus_pipeline.run(spark, SF)) == key(stages[-1][2])
 
 
+def test_run_on_odd_rows(spark, odd, nothing, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, rows that repeat, names of ours; an empty table; a folder that is told and stays."""
+    from tidelog.functions import store
+
+    for k, docs in enumerate((odd.withColumn("_key", F.lit("mine")).withColumn("cuts", F.lit(1)), nothing)):
+        docs.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        spark.createDataFrame([(1, "other text with the same id and so on to ten words"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{k}/benchmark.parquet")
+        spark.conf.set(corpus_pipeline.TOKENS, f"file://{tmp_path}/tokens{k}")
+        before = {*store._made}
+        try:
+            rows = corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()
+        finally:
+            spark.conf.unset(corpus_pipeline.TOKENS)
+        assert {r["doc_id"] for r in rows} <= {4, 6, 7, 8, 9} and bool(rows) == (k == 0)
+        assert (tmp_path / f"tokens{k}" / "manifest").is_dir()
+        assert not [p for p in store._made if p not in before and ("-language-" in p or "-simhash-" in p or "-prints-" in p)]
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()

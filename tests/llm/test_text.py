@@ -369,6 +369,26 @@ def test_token_output_odd(spark, odd, nothing):
     assert token_output.token_output(spark, nothing, token_output.tokenizer_path())[0].count() == 0
 
 
+def test_token_files_stay_and_are_read_by_themselves(spark, make, tmp_path):
+    """A doc_id that many rows have, and nulls, fill several files; the folder tells all."""
+    docs = make([(7 if k % 2 else None if k % 3 else k, f"text number {k}") for k in range(600)])
+    folder = f"file://{tmp_path}/out"
+    out, told = token_output.token_output(spark, docs, token_output.tokenizer_path(), folder=folder, files=12)
+    assert told == folder
+    first = sorted(tuple(r) for r in out.select("start", "doc_id", "n_tokens", "ids_crc32").collect())
+    ids = [r[1] for r in first]
+    assert ids == sorted(ids, key=lambda x: -1 if x is None else x) and len(ids) == 600
+    assert [r[0] for r in first] == np.cumsum([0, *(r[2] for r in first[:-1])]).tolist()
+    sizes = [r["n_docs"] for r in spark.read.parquet(f"{folder}/{token_output.MANIFEST}").collect()]
+    assert max(sizes) <= 150 and len(sizes) >= 9
+    assert sorted(tuple(r) for r in token_output.read_files(spark, folder).select("start", "doc_id", "n_tokens", "ids_crc32").collect()) == first
+    again = token_output.token_output(spark, docs.repartition(3), token_output.tokenizer_path(), files=12)
+    assert sorted(tuple(r) for r in again[0].select("start", "doc_id", "n_tokens", "ids_crc32").collect()) == first
+    from tidelog.functions import store
+
+    assert again[1] not in store._made
+
+
 # HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; more</title><style>p{}</style><script>var t="</p><article>no</article>";</script></head>

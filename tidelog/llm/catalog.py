@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontam, exact_dedup, html_extract, langid, line_template, mixing, quality, simhash, suffix_dedup, token_output
+from tidelog.llm.common import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +56,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the files of token ids hold, read back."""
-    return token_output.token_output(spark, _table(spark, sf_dir, "documents"), token_output.tokenizer_path())[0]
+    """What the files of token ids hold, read back; they are for this report only and go with the driver."""
+    return token_output.token_output(spark, _table(spark, sf_dir, "documents"), token_output.tokenizer_path(), folder=fresh_path(spark, "tokens"))[0]
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

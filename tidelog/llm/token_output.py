@@ -1,6 +1,6 @@
 """Token-ID output: texts to ids, ids to files of patched frame-of-reference blocks, files back to rows.
 
-The ids are dealt by ranges of doc_id, whose bounds come from quantiles of doc_id alone, so texts are tokenized once. Each range becomes a file under a name of its own, which counts only if the task's row in the manifest does; a task that runs again writes another. A file's first position follows from the manifest.
+The ids are dealt by ranges of doc_id, whose bounds come from quantiles of doc_id alone, so texts are tokenized once. There are as many ranges as the bytes of text fill files of FILE_BYTES, and as many as Spark deals shuffles into at least; a doc_id with so many rows that several bounds fall on it is dealt among their ranges by a checksum of the ids. Each range becomes a file under a name of its own, which counts only if the task's row in the manifest does; a task that runs again writes another. The manifest stands beside the files and tells where each file starts, so a folder can be read by itself.
 """
 
 from __future__ import annotations
@@ -21,10 +21,14 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import fresh_path, kept_table, slices
 
 END_ID = 1
+#: Where a null doc_id stands: first.
+LEAST_ID = -(1 << 63)
 #: Words and other parts whose ids a worker remembers in each of two generations; when one is full, the older goes.
 REMEMBERED = 300_000
-#: Bytes of text that are encoded at once.
-AT_ONCE = 2_500_000
+#: Bytes of text that are encoded at once, and bytes of text of a file, about.
+AT_ONCE, FILE_BYTES = 2_500_000, 256 << 20
+#: Name of the manifest in the folder.
+MANIFEST = "manifest"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -178,8 +182,12 @@ def tokenize(docs: DataFrame, path: str, bounds: list[int], doc_id: str = "doc_i
             texts = batch.column(1)
             for a, b in slices(pc.binary_length(texts).fill_null(0).to_pylist(), AT_ONCE):
                 ids = batch.column(0).slice(a, b - a)
-                place = np.searchsorted(edges, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(place), ids, enc.encode(texts.slice(a, b - a))], ["range", "doc_id", "ids"])
+                number = ids.fill_null(LEAST_ID).to_numpy(zero_copy_only=False)
+                place, encoded = np.searchsorted(edges, number), enc.encode(texts.slice(a, b - a))
+                several = np.searchsorted(edges, number, side="right") - place
+                for k in np.flatnonzero(several > 1).tolist():
+                    place[k] += zlib.crc32(encoded[k].as_buffer()) * int(several[k]) >> 32
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), ids, encoded], ["range", "doc_id", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "range int, doc_id long, ids binary")
 
@@ -210,11 +218,13 @@ def write_files(ids: DataFrame, folder: str, width: int, files: int) -> DataFram
     dealt = ids.repartitionById(files, F.col("range")).select("doc_id", "ids").sortWithinPartitions("doc_id", F.crc32("ids"), "ids")
     manifest = kept_table(dealt.mapInArrow(run, "file int, name string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    whole = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    whole.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{MANIFEST}")
+    return ids.sparkSession.read.schema(whole.schema).parquet(f"{folder}/{MANIFEST}")
 
 
-def read_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, read back from the files."""
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, read back from the files that the folder's manifest names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tidelog.llm.pfor import read
@@ -236,19 +246,28 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.sparkSession.createDataFrame(manifest.select("name", "start").collect(), "name string, start long")  # a row for each file
+    files = spark.read.parquet(f"{folder}/{MANIFEST}").select("name", "start")
     return files.repartition(max(1, files.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def ranges(docs: DataFrame, doc_id: str, text: str, files: int | None) -> list[int]:
+    """The last doc_id of each range but the last, for so many files, or as many as the bytes of text fill."""
+    spark = docs.sparkSession
+    if files is None:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    at = [k / files for k in range(1, files)]
+    number = F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID))
+    return docs.select(F.percentile_approx(number, F.array(*map(F.lit, at)), min(100 * files, 1_000_000))).first()[0] or [] if at else []
+
+
 def token_output(spark: SparkSession, docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", folder: str | None = None, files: int | None = None) -> tuple[DataFrame, str]:
-    """Writes the ids of all documents to files and returns what is read back from them, and the folder.
+    """Writes the ids of all documents to files and returns what is read back from them, and the folder, which stays.
 
     A null or empty text gives the end id alone. Rows that repeat are written each; rows that tie on doc_id follow one another, in an order that their ids fix; a null doc_id comes first. An empty table writes no file and gives no rows. doc_id is an integer; other columns play no part, whatever their names.
     """
-    folder = folder or fresh_path(spark, "tokens")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = [k / files for k in range(1, files)]
-    bounds = docs.select(F.percentile_approx(F.col(doc_id).cast("long"), F.array(*map(F.lit, at)), 100 * files)).first()[0] if at else []
-    ids = tokenize(docs, path, bounds or [], doc_id, text)
-    manifest = write_files(ids, folder, encoder(path).kind.itemsize, files)
-    return read_files(manifest, folder), folder
+    folder = folder or fresh_path(spark, "tokens", lasting=True)
+    bounds = ranges(docs, doc_id, text, files)
+    ids = tokenize(docs, path, bounds, doc_id, text)
+    write_files(ids, folder, encoder(path).kind.itemsize, len(bounds) + 1)
+    return read_files(spark, folder), folder
