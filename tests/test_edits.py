@@ -13,12 +13,12 @@ SCALE = ["V", "D", "I", "W", "E"]
 @pytest.mark.parametrize(
     ("query", "field", "value", "expected"),
     [
-        ("", "category", "Sync", "category:Sync"),
-        ("category:Sync", "category", "Wpp", "category:Sync,Wpp"),
-        ("category:Sync,Wpp", "category", "sync", "category:Wpp"),
-        ("category:Sync", "category", "Sync", ""),
-        ("-category:Ui", "category", "Sync", "-category:Ui category:Sync"),
-        ("category:Sync hello category:Wpp", "category", "Ui", "category:Sync,Wpp,Ui hello"),
+        ("", "category", "Mail", "category:Mail"),
+        ("category:Mail", "category", "Home", "category:Mail,Home"),
+        ("category:Mail,Home", "category", "mail", "category:Home"),
+        ("category:Mail", "category", "Mail", ""),
+        ("-category:Door", "category", "Mail", "-category:Door category:Mail"),
+        ("category:Mail hello category:Home", "category", "Door", "category:Mail,Home,Door hello"),
         ("level>=W", "level", "E", "level:W"),
         ("level:W", "level", "E", "level>=W"),
         ("level:V", "level", "E", "level:V,E"),

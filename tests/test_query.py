@@ -5,45 +5,45 @@ from tests.helpers import QUERY_LOG, messages, opened
 
 @pytest.fixture(scope="module")
 def source(spark, tmp_path_factory):
-    return opened(spark, tmp_path_factory.mktemp("query"), {"2026-07-22": QUERY_LOG})
+    return opened(spark, tmp_path_factory.mktemp("query"), {"day": QUERY_LOG})
 
 
 CASES = {
     "": 7,
-    "level>=W": ["push-retry backoff=200", "session-lost", "reported-no-category"],
-    "level>W": ["session-lost", "reported-no-category"],
-    "level<D": ["frame-in"],
-    "level<=D": ["frame-in", "pull-start"],
-    "level:V,I": ["frame-in", "pull-done", "ui-resumed"],
-    "-level:V,I,E": ["pull-start", "push-retry backoff=200"],
-    "level>=W level<=W": ["push-retry backoff=200"],
-    "category:sync": ["pull-start", "pull-done", "push-retry backoff=200"],
-    "category:Sync,Wpp": 5,
-    "category:Sync level>=W": ["push-retry backoff=200"],
-    "category:Sync category:Wpp": [],
-    "-category:Sync": ["frame-in", "session-lost", "reported-no-category", "ui-resumed"],
-    "-category:Sync -category:Wpp": ["reported-no-category", "ui-resumed"],
-    "category>=Sync": 3,
-    "tag:~Pu": ["pull-start", "pull-done", "push-retry backoff=200"],
-    "Tag:~pu": 3,
-    'category:"Sync"': 3,
-    "backoff": ["push-retry backoff=200"],
-    '"backoff=200"': ["push-retry backoff=200"],
-    "BACKOFF": ["push-retry backoff=200"],
-    "push-retry backoff": ["push-retry backoff=200"],
-    "backoff push-retry": [],
+    "level>=W": ["parcel late delay=45", "lamp broken", "note without a place"],
+    "level>W": ["lamp broken", "note without a place"],
+    "level<D": ["kettle on"],
+    "level<=D": ["kettle on", "letter sorted"],
+    "level:V,I": ["kettle on", "letter posted", "door opened"],
+    "-level:V,I,E": ["letter sorted", "parcel late delay=45"],
+    "level>=W level<=W": ["parcel late delay=45"],
+    "category:mail": ["letter sorted", "letter posted", "parcel late delay=45"],
+    "category:Mail,Home": 5,
+    "category:Mail level>=W": ["parcel late delay=45"],
+    "category:Mail category:Home": [],
+    "-category:Mail": ["kettle on", "lamp broken", "note without a place", "door opened"],
+    "-category:Mail -category:Home": ["note without a place", "door opened"],
+    "category>=Mail": 3,
+    "tag:~Post": ["letter sorted", "letter posted", "parcel late delay=45"],
+    "Tag:~post": 3,
+    'category:"Mail"': 3,
+    "delay": ["parcel late delay=45"],
+    '"delay=45"': ["parcel late delay=45"],
+    "DELAY": ["parcel late delay=45"],
+    "late delay": ["parcel late delay=45"],
+    "delay late": [],
     "-timeout": [],
-    "-backoff": ["push-retry backoff=200"],
-    "/pull-(start|done)/": ["pull-start", "pull-done"],
-    "/PULL-START/": ["pull-start"],
-    "/pull-start/ /pull-done/": ["pull-done"],
-    "since:11:00 until:11:30": ["pull-done", "push-retry backoff=200"],
-    "since:11:00 since:12:30": ["reported-no-category", "ui-resumed"],
-    "since:2026-07-22T12:30": ["reported-no-category", "ui-resumed"],
-    "since:-1h": ["session-lost", "reported-no-category", "ui-resumed"],
-    "since:-30m": ["reported-no-category", "ui-resumed"],
-    "until:2026-07-22": [],
-    "until:2026-07-23": 7,
+    "-delay": ["parcel late delay=45"],
+    "/letter (sort|post)ed/": ["letter sorted", "letter posted"],
+    "/LETTER SORTED/": ["letter sorted"],
+    "/letter sorted/ /letter posted/": ["letter posted"],
+    "since:08:40 until:09:00": ["letter posted", "parcel late delay=45"],
+    "since:08:40 since:09:40": ["note without a place", "door opened"],
+    "since:2027-03-05T09:40": ["note without a place", "door opened"],
+    "since:-40m": ["lamp broken", "note without a place", "door opened"],
+    "since:-20m": ["note without a place", "door opened"],
+    "until:2027-03-05": [],
+    "until:2027-03-06": 7,
 }
 
 
@@ -57,16 +57,16 @@ def test_selects(source, query):
 
 
 PROBLEMS = {
-    "colour:red": (7, ["Unknown field 'colour'. Known: level, since, until, category, tag"]),
-    "category:Snyc": (7, ["No category value 'Snyc' in this file"]),
-    "category:Sync,Snyc": (3, ["No category value 'Snyc' in this file"]),
-    "-category:Snyc": (7, ["No category value 'Snyc' in this file"]),
-    "tag:~zzz": (7, ["No tag value contains 'zzz'"]),
+    "colour:red": (7, ["colour: no such field here; there are level, since, until, category, tag"]),
+    "category:Mial": (7, ["category: no entry has 'Mial'"]),
+    "category:Mail,Mial": (3, ["category: no entry has 'Mial'"]),
+    "-category:Mial": (7, ["category: no entry has 'Mial'"]),
+    "tag:~zzz": (7, ["tag: no entry has a value with 'zzz' in it"]),
     "since:yesterday": (7, None),
-    'since:"2026-07-22 12:30"': (7, None),
-    "category:": (7, ["'category' needs a value"]),
-    "level:": (7, ["'level' needs a value"]),
-    "level:Nope category:": (7, ["Unknown level 'Nope'. Known: V, D, I, W, E", "'category' needs a value"]),
+    'since:"2027-03-05 09:40"': (7, None),
+    "category:": (7, ["category: nothing to look for after the sign"]),
+    "level:": (7, ["level: nothing to look for after the sign"]),
+    "level:Nope category:": (7, ["level: 'Nope' is none of V, D, I, W, E", "category: nothing to look for after the sign"]),
     "/(/": (7, None),
     "level>=W colour:red": (3, None),
 }
@@ -81,11 +81,11 @@ def test_problems(source, query):
 
 
 def test_counts_lift_their_own_control(source):
-    rows = {(r["control"], r["value"], r["bucket"]): r["n"] for r in source.query("category:Sync").counts(4).collect()}
-    assert {k[1]: n for k, n in rows.items() if k[0] == "facet:category"} == {"Sync": 3, "Wpp": 2, "Ui": 1}
-    assert {k[1]: n for k, n in rows.items() if k[0] == "facet:tag"} == {"PullVasistas": 2, "PushMeasures": 1}
+    rows = {(r["control"], r["value"], r["bucket"]): r["n"] for r in source.query("category:Mail").counts(4).collect()}
+    assert {k[1]: n for k, n in rows.items() if k[0] == "facet:category"} == {"Mail": 3, "Home": 2, "Door": 1}
+    assert {k[1]: n for k, n in rows.items() if k[0] == "facet:tag"} == {"PostSort": 2, "PostVan": 1}
     assert {k[1]: n for k, n in rows.items() if k[0] == "level"} == {"1": 1, "2": 1, "3": 1}
-    narrowed = {(r["control"], r["value"], r["bucket"]): r["n"] for r in source.query("since:12:00").counts(4).collect()}
+    narrowed = {(r["control"], r["value"], r["bucket"]): r["n"] for r in source.query("since:09:20").counts(4).collect()}
     assert sum(n for k, n in narrowed.items() if k[0] == "timeline") == 7
     assert sum(n for k, n in narrowed.items() if k[0] == "level") == 3
 
@@ -93,7 +93,7 @@ def test_counts_lift_their_own_control(source):
 def test_single_scan_equals_separate_counts(source):
     from tidelog.operators import facets
 
-    found = source.query("category:Sync level>=D")
+    found = source.query("category:Mail level>=D")
     rows = {(r["control"], r["value"], r["bucket"]): r["n"] for r in found.counts(5).collect()}
     apart = {("facet:tag", r["value"], None): r["n"] for r in facets.facet_counts(source.entries, found.query, "tag").collect()}
     apart |= {("facet:category", r["value"], None): r["n"] for r in facets.facet_counts(source.entries, found.query, "category").collect()}
@@ -103,33 +103,33 @@ def test_single_scan_equals_separate_counts(source):
 
 
 def test_top_values_are_by_total(source):
-    listed, more = source.query("category:Wpp").top("category")
-    assert [r["value"] for r in listed.collect()] == ["Sync", "Wpp", "Ui"]
+    listed, more = source.query("category:Home").top("category")
+    assert [r["value"] for r in listed.collect()] == ["Mail", "Home", "Door"]
     assert more == 0
 
 
 def test_context_ignores_the_query(source):
-    assert messages(source.context(3, 1)) == ["pull-done", "push-retry backoff=200", "session-lost"]
+    assert messages(source.context(3, 1)) == ["letter posted", "parcel late delay=45", "lamp broken"]
 
 
 def test_results_api(source, tmp_path):
     from tidelog.operators.results import Selection
 
-    found = source.query("category:Sync")
-    assert [r["message"] for r in found.page(1, 1).collect()] == ["pull-done"]
+    found = source.query("category:Mail")
+    assert [r["message"] for r in found.page(1, 1).collect()] == ["letter posted"]
     assert found.position_of(3) == 2 and found.position_of(0) == -1
     text, notice = found.copy(Selection(0, 2), cap=2)
     assert text.count("\n") == 1 and notice == "Copied 2 of 3 entries"
     assert found.copy(Selection.at(0))[1] is None
     assert found.export(str(tmp_path / "out.log"), single=True) == 3
-    assert (tmp_path / "out.log").read_text().count("pull-") == 2
-    assert found.is_stale("category:Wpp") and not found.is_stale("category:Sync")
+    assert (tmp_path / "out.log").read_text().count("letter ") == 2
+    assert found.is_stale("category:Home") and not found.is_stale("category:Mail")
     assert Selection(1, 3).moved(5, 5) == Selection.at(4)
     assert Selection(1, 3).moved(-9, 5, extend=True) == Selection(1, 0)
     assert Selection(3, 4).within(2) == Selection(1, 1)
 
 
 def test_dictionary_and_detail(source):
-    assert [(r["value"], r["total"]) for r in source.dictionary("category").collect()] == [("Sync", 3), ("Wpp", 2), ("Ui", 1)]
+    assert [(r["value"], r["total"]) for r in source.dictionary("category").collect()] == [("Mail", 3), ("Home", 2), ("Door", 1)]
     assert source.detail(5)["Category"] == "none"
     assert source.detail(3)["Level"] == "Warn"

@@ -27,7 +27,7 @@ def classified(spark, tmp_path, text, name=W):
 def test_fold_and_parse(spark, tmp_path):
     text = (
         "=== day one ===\n--- older lines dropped (3) ---\n"
-        "2026-07-22 10:00:00.000 [D] [Sync] [tag] -> a -> b\n" + IN + "more\r\n" + IN + "  deeper\n"
+        "2026-07-22 10:00:00.000 [D] [Mail] [tag] -> a -> b\n" + IN + "more\r\n" + IN + "  deeper\n"
         "2026-07-22 10:00:01.000 [D] [ou1] -> [bracket] message\n"
         "2026-07-22 10:00:02.000 [E] [] [Résumé] -> \n"
         "junk\n" + IN + "late\n"
@@ -38,7 +38,7 @@ def test_fold_and_parse(spark, tmp_path):
     assert kinds == ["section", "notice", "entry", "continuation", "continuation", "entry", "entry", "unrecognised", "continuation", "unrecognised", "unrecognised"]
     rows = fold.fold(c, p).orderBy("seq").collect()
     assert [r["message"] for r in rows] == ["a -> b", "[bracket] message", ""]
-    assert [r["category"] for r in rows] == ["Sync", None, ""]
+    assert [r["category"] for r in rows] == ["Mail", None, ""]
     assert [r["tag"] for r in rows] == ["tag", "ou1", "Résumé"]
     assert rows[0]["continuations"] == ["more\r", "deeper"]
     assert rows[0]["raw_text"] == text.split("2026-07-22 10:00:00.000")[1].join(["2026-07-22 10:00:00.000", ""])[: len(rows[0]["raw_text"])]
@@ -82,10 +82,10 @@ def test_unrecognised_shapes(spark, tmp_path):
 
 
 def test_merge_is_a_k_way_merge(spark, tmp_path):
-    def line(t, m, c="Sync"):
+    def line(t, m, c="Mail"):
         return f"2026-07-22 {t}.000 [D] [{c}] [t] -> {m}\n"
 
-    s = opened(spark, tmp_path, {"a": line("10:00:00", "a1") + line("12:00:00", "a2") + line("11:00:00", "a3") + line("13:00:00", "a4"), "b": line("11:30:00", "b1") + line("11:00:00", "b2", "Wpp") + line("12:30:00", "b3") + IN + "cont\n", "notes.txt": "hello\nthere\nall\n"})
+    s = opened(spark, tmp_path, {"a": line("10:00:00", "a1") + line("12:00:00", "a2") + line("11:00:00", "a3") + line("13:00:00", "a4"), "b": line("11:30:00", "b1") + line("11:00:00", "b2", "Home") + line("12:30:00", "b3") + IN + "cont\n", "notes.txt": "hello\nthere\nall\n"})
     # the heap takes the file whose next entry is earliest: an entry behind a later one waits for it
     heads, want = {"a": [(10, "a1"), (12, "a2"), (11, "a3"), (13, "a4")], "b": [(11.5, "b1"), (11, "b2"), (12.5, "b3")]}, []
     while any(heads.values()):
@@ -95,18 +95,18 @@ def test_merge_is_a_k_way_merge(spark, tmp_path):
     assert s.skipped == [("notes.txt", f"not recognised by {W}")]
     assert [f.name for f in s.facets] == ["category", "tag", "file"]
     assert messages(s.query("file:b").df) == ["b1", "b2", "b3"]
-    assert {r["value"]: r["total"] for r in s.dictionary("category").collect()} == {"Sync": 6, "Wpp": 1}
+    assert {r["value"]: r["total"] for r in s.dictionary("category").collect()} == {"Mail": 6, "Home": 1}
 
 
 def test_no_profile(spark, tmp_path):
-    with pytest.raises(NoMatchingProfile, match="Tried"):
+    with pytest.raises(NoMatchingProfile, match="tried"):
         opened(spark, tmp_path, {"x": "hello\nthere\n"})
 
 
 @pytest.mark.parametrize(
     ("text", "name"),
     [
-        ("2026-07-22 10:00:00.000 [D] [Sync] [tag] -> hi\n" * 3, W),
+        ("2026-07-22 10:00:00.000 [D] [Mail] [tag] -> hi\n" * 3, W),
         ("2026-07-22 10:00:00.000 INFO hi\n2026-07-22T10:00:00Z WARN x\n2026-07-22 10:00:00 y\n", "generic-timestamped"),
         ("07-22 10:00:00.000  123  456 D Tag : hi\n--------- beginning of main\n", "android-logcat"),
         ("Oct  1 10:00:00 host app[12]: hi\nOct 11 10:00:00 host kernel: there\n", "syslog-rfc3164"),
@@ -142,17 +142,17 @@ def test_json_lines(spark, tmp_path):
     assert by["ms"]["level"] == "ERROR" and by["ms"]["raw_text"].endswith("ratio=1e3")
     assert by["s"]["level"] == "INFO" and by["s"]["context"] == "" and by["s"]["ts_ms"] == 1784726475000
     assert by["offset"]["ts_ms"] == by['a/b "c"']["ts_ms"] == 1784733675293 and "flag=true none=null" in by["offset"]["raw_text"]
-    assert "1 of an unrecognised level shown as Info" in s.converted["log.json"]
+    assert "1 with a level of no known name" in s.converted["log.json"]
     pretty = "{}\n" + json.dumps(records[0], indent=1) + json.dumps(records[1])
     (tmp_path / "p").mkdir()
     assert opened(spark, tmp_path / "p", {"log.json": '{"a":1,\n"timestamp":"2026-07-22T10:00:00","message":"m"}\n' + pretty[3:]}).stats["entries"] == 3
 
 
 def test_json_failures(spark, tmp_path):
-    with pytest.raises(ContainerError, match="no key looks like a time"):
+    with pytest.raises(ContainerError, match="no key of its objects names the time"):
         opened(spark, tmp_path, {"a.json": '{"message":"x"}\n'})
     (tmp_path / "b").mkdir()
-    with pytest.raises(ContainerError, match="not a time"):
+    with pytest.raises(ContainerError, match="is no time"):
         opened(spark, tmp_path / "b", {"a.json": '{"ts":"2026-07-22T10:00:00Z","msg":"x"}\n{"ts":"soon","msg":"x"}\n'})
     assert instant_of("nope", ZONE) is None
 

@@ -26,7 +26,7 @@ class NoMatchingProfile(ValueError):
     """No format explains the file; says which were tried."""
 
     def __init__(self, file: str, tried: Sequence[str]) -> None:
-        super().__init__(f"No profile matches '{file}'. Tried: {', '.join(tried)}. Add a profile of your own to the user folder and open the file again.")
+        super().__init__(f"'{file}' is written in none of the formats that were tried ({', '.join(tried)}); a profile in the user folder can describe another")
 
 
 @dataclass(frozen=True)
@@ -186,7 +186,7 @@ class Source:
     @property
     def shape(self) -> Shape:
         asked = Shape.of(self.entries, self.facets, self.profile.levels or None, self.zone)
-        return Shape(asked.facets, asked.levels, asked.zone, lambda: self.bounds, asked.values)
+        return Shape(asked.facets, asked.levels, asked.zone, lambda: self.bounds, asked.found)
 
     def compile(self, query: str) -> CompiledQuery:
         return compile_query(query, self.shape)
