@@ -148,6 +148,55 @@ def test_json_lines(spark, tmp_path):
     assert opened(spark, tmp_path / "p", {"log.json": '{"a":1,\n"timestamp":"2026-07-22T10:00:00","message":"m"}\n' + pretty[3:]}).stats["entries"] == 3
 
 
+def test_json_objects_that_span_lines(spark, tmp_path):
+    """Braces, quotes and line feeds in strings; the first object far from the file's begin; files in several blocks."""
+    told = ['{ "a": "}{" }', "a \\ end \\\\", '"quoted" [', "plain", "two\nlines } {", "é"]
+    records = [{"time": f"2026-07-22T10:00:{k % 60:02d}", "level": "info", "message": told[k % len(told)], "more": {"deep": ["]", {"x": k}]}, "k": k} for k in range(3000)]
+    text = '{"skipped": {}, "time":\n\n"2026-07-22T09:00:00", "level": "info", "message": "first"}' + "\n" * 1500
+    text += "".join(json.dumps(r, indent=k % 3 or None) + ("\n" if k % 5 else " ") for k, r in enumerate(records)).replace("two\\nlines", "two\nlines")
+    (tmp_path / "x.json").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        s = opened(spark, tmp_path, {})
+        rows = s.entries.orderBy("entry_id").select("message", "continuations").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 3001 and rows[0]["message"] == "first"
+    assert [r["message"] for r in rows[1:]] == [x["message"].split("\n")[0] for x in records]
+    assert [r["continuations"][-1].strip() for r in rows[1:]] == [f"k={k}" for k in range(3000)]
+    (tmp_path / "late").mkdir()
+    late = opened(spark, tmp_path / "late", {"late.json": '{}\n' + "\n" * 1200 + '{"ts": "2026-07-22T10:00:00", "msg": "m"}\n'})
+    assert late.stats["entries"] == 1
+
+
+def test_many_files_open_in_few_jobs(spark, tmp_path):
+    """A thousand small files: the driver's jobs do not follow their number, and files one after the other need no merge."""
+    for k in range(1000):
+        (tmp_path / f"part-{k:04d}.log").write_text("".join(f"2026-07-22 {k // 60:02d}:{k % 60:02d}:0{i}.000 [D] [t{k % 3}] -> {k} {i}\n" for i in range(3)))
+    (tmp_path / "readme").write_text("nothing\nof a log\nis here\n")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("many", "many files")
+    s = opened(spark, tmp_path, {})
+    assert len(jobs.getJobIdsForGroup("many")) < 40
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert s.skipped == [("readme", f"not recognised by {W}")] and s.stats["entries"] == 3000
+    assert messages(s.entries) == [f"{k} {i}" for k in range(1000) for i in range(3)]
+    assert s.query("tag:t1 file:part-0001.log").count == 3
+
+
+def test_lines_behind_the_last_continuation_are_not_held(spark, tmp_path):
+    """An entry before many unrecognised lines is small; with a continuation behind them they are all its own."""
+    text = "2026-07-22 10:00:00.000 [D] [t] -> a\n" + "junk\n" * 3000 + IN + "end\n" + "other\n" * 50_000 + "2026-07-22 10:00:01.000 [D] [t] -> b\n" + "tail\n" * 3000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        c, p = classified(spark, tmp_path, text)
+        held = fold.fold(c, p)
+        rows = held.orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["line_no"], r["last_line_no"], len(r["continuations"])) for r in rows] == [(1, 3002, 3001), (53003, 53003, 0)]
+
+
 def test_json_failures(spark, tmp_path):
     with pytest.raises(ContainerError, match="no key of its objects names the time"):
         opened(spark, tmp_path, {"a.json": '{"message":"x"}\n'})

@@ -50,23 +50,27 @@ def fold(classified: DataFrame, profile: Profile) -> DataFrame:
 
     Columns: file_id, file, block, seq (from 1 in the file), line_no, last_line_no, byte_offset, byte_length, ts_ms, ts, level_ord, level, the facets, message, continuations, raw_text.
     """
-    is_entry = F.col("kind") == ENTRY
-    counts = classified.groupBy("file_id", "block").agg(F.count(F.when(is_entry, 1)).alias("n"))
-    before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("file_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("file_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = classified.join(counts, ["file_id", "block"]).withColumn("seq", F.col("_before") + F.count(F.when(is_entry, 1)).over(own))
-    held = numbered.where("seq > 0")
+    is_entry, is_event = F.col("kind") == ENTRY, F.col("kind").isin(ENTRY, CONTINUATION)
+    first = F.min(F.when(is_event, 2 * F.col("line_no") + (~is_entry).cast("int")))  # with its last bit a continuation
+    counts = classified.groupBy("file_id", "block").agg(F.count(F.when(is_entry, 1)).alias("_n"), F.when(first % 2 == 0, ENTRY).when(first.isNotNull(), CONTINUATION).alias("_first"))
+    file = Window.partitionBy("file_id")  # a row for each block
+    before = F.coalesce(F.sum("_n").over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    later = F.last("_first", ignorenulls=True).over(file.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("file_id", "block", (before + F.col("_n")).alias("_upto"), later.alias("_later"))
+    # from a block's end: the entries behind a line, and what stands next behind it
+    behind = Window.partitionBy("file_id", "block").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    follows = F.coalesce(F.last(F.when(is_event, F.col("kind")), ignorenulls=True).over(behind), F.col("_later"))
+    numbered = classified.join(counts, ["file_id", "block"]).withColumn("seq", F.col("_upto") - F.count(F.when(is_entry, 1)).over(behind)).withColumn("_follows", follows)
+    # what stands behind an entry's last continuation is no part of it, however much it is
+    held = numbered.where((F.col("seq") > 0) & (is_event | (F.col("_follows") == CONTINUATION)))
     part = F.struct("line_no", "raw", "text")
     grouped = held.groupBy("file_id", "file", "seq").agg(
         F.min("line_no").alias("line_no"),
-        F.max(F.when(F.col("kind").isin(ENTRY, CONTINUATION), F.col("line_no"))).alias("last_line_no"),
+        F.max("line_no").alias("last_line_no"),
         F.min(F.when(is_entry, F.col("byte_offset"))).alias("byte_offset"),
         F.first(F.when(is_entry, F.struct("_ms", "_fields", "text", "block")), ignorenulls=True).alias("_open"),
-        F.collect_list(part).alias("_parts"),
+        F.array_sort(F.collect_list(part)).alias("_parts"),
     )
-    inside = F.filter(F.array_sort("_parts"), lambda x: x["line_no"] <= F.col("last_line_no"))
-    grouped = grouped.withColumn("_parts", inside)
     last = F.element_at("_parts", -1)["text"]
     earlier = F.transform(F.slice("_parts", 1, F.size("_parts") - 1), lambda x: x["raw"])
     raw_text = F.when(F.size("_parts") == 1, last).otherwise(F.concat_ws("\n", F.array_join(earlier, "\n"), last))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from tidelog.functions.timestamps import local_zone
 from tidelog.operators import diagnostics, facets, fold, merge, results
 from tidelog.plans.compiler import CompiledQuery, Facet, Shape, compile_query
 from tidelog.sources import adapters
-from tidelog.sources.lines import File, _escaped, lines
+from tidelog.sources.lines import File, _escaped, lines, raw_lines
 from tidelog.sources.profiles import Profile, Registry
 
 Progress = Callable[[str, int, int], None]
@@ -37,44 +39,78 @@ class Match:
     filename_agrees: bool
 
 
-def expand(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
-    """(name, path) of the files that the paths name: of a folder the files in it by name, without empty and hidden ones."""
-    out: dict[str, str] = {}
+def _listed(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, int]]:
+    """Path to name and size of the files that the paths name."""
+    out: dict[str, tuple[str, int]] = {}
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         store = where.getFileSystem(spark._jsc.hadoopConfiguration())
         status = store.getFileStatus(where)
         found = sorted(store.listStatus(where), key=lambda s: s.getPath().getName()) if status.isDirectory() else [status]
         for s in found:
-            name = s.getPath().getName()
+            name, full = s.getPath().getName(), s.getPath().toString()
             if s.isFile() and (not status.isDirectory() or (s.getLen() > 0 and not name.startswith("."))):
-                out.setdefault(s.getPath().toString().replace("file:/", "/", 1) if s.getPath().toString().startswith("file:/") else s.getPath().toString(), name)
-    return [(name, path) for path, name in out.items()]
+                out.setdefault(full.replace("file:/", "/", 1) if full.startswith("file:/") else full, (name, s.getLen()))
+    return out
+
+
+def expand(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
+    """(name, path) of the files that the paths name: of a folder the files in it by name, without empty and hidden ones."""
+    return [(name, path) for path, (name, _) in _listed(spark, paths).items()]
+
+
+#: Bytes of a file that its sample is taken from, at most, and those that are read at once.
+SAMPLED, AT_ONCE = 16 << 20, 1 << 16
+
+
+def heads(spark: SparkSession, files: Sequence[File], n: int) -> DataFrame:
+    """file_id, adapter (the format of the container that claims the file, if any), line_no (from 1) and text of the first lines of each file: one job for all files.
+
+    A file has one row at least. line_no is null where a store can't be read from Python; then the driver reads the head.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file_id, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    store, where = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                    data = b""
+                    with store.open_input_stream(where) as source:
+                        while len(data) < SAMPLED and data.count(b"\n") < n and (piece := source.read(AT_ONCE)):
+                            data += piece
+                    adapter = adapters.claiming(adapters.sniffed(data))
+                    rows = [x.decode("utf-8", "replace").removesuffix("\r") for x in data.split(b"\n")[: n if data.count(b"\n") >= n else None]]
+                    rows = rows[:-1] if rows[-1] == "" and len(rows) > 1 else rows
+                    places = list(range(1, len(rows) + 1))
+                except (OSError, ValueError, pa.ArrowException):
+                    adapter, rows, places = None, [""], [None]
+                size = len(rows)
+                yield pa.RecordBatch.from_pydict({"file_id": pa.array([file_id] * size, pa.int32()), "adapter": pa.array([adapter.profile if adapter else None] * size, pa.string()), "line_no": pa.array(places, pa.int32()), "text": pa.array(rows, pa.string())})
+
+    listed = spark.createDataFrame([(f.file_id, f.path) for f in files], "file_id int, path string")
+    parts = min(len(files), 4 * spark.sparkContext.defaultParallelism)
+    return listed.repartition(max(1, parts)).mapInArrow(run, "file_id int, adapter string, line_no int, text string")
 
 
 def head(spark: SparkSession, path: str, n: int) -> list[str]:
     """The first lines of a file."""
     name = path.rsplit("/", 1)[-1]
     if name.startswith(("_", ".")):
-        from tidelog.sources.lines import raw_lines
-
         rows = raw_lines(spark, [File(0, name, path)]).orderBy("block", "at").limit(n).collect()
         return [r["raw"].removesuffix("\r") for r in rows]
     return [r["value"].removesuffix("\r") for r in spark.read.option("lineSep", "\n").text(_escaped(path)).head(n)]
 
 
-def scores(spark: SparkSession, samples: dict[int, list[str]], profiles: Sequence[Profile]) -> dict[tuple[int, str], tuple[float, int]]:
-    """(file, profile) to the share of its sample that the profile accounts for and the entries it opens there: one job for all."""
-    rows = [(k, n + 1, text) for k, sample in samples.items() for n, text in enumerate(sample)]
-    if not rows or not profiles:
+def scores(sample: DataFrame, profiles: Sequence[Profile]) -> dict[tuple[int, str], tuple[float, int]]:
+    """(file, profile) to the share of the file's sample (file_id, line_no, text) that the profile accounts for and the entries it opens there: one job for all."""
+    if not profiles:
         return {}
-    table = spark.createDataFrame(rows, "file_id int, line_no int, text string")
     aggs = []
     for k, p in enumerate(profiles):
         inside = F.col("line_no") <= p.sample
         aggs += [F.avg(F.when(inside, p.accounts(F.col("text")).cast("double"))).alias(f"s{k}"), F.count(F.when(inside & p.parses(F.col("text")), 1)).alias(f"e{k}")]
     out = {}
-    for r in table.groupBy("file_id").agg(*aggs).collect():
+    for r in sample.groupBy("file_id").agg(*aggs).collect():  # a row for each file
         for k, p in enumerate(profiles):
             out[r["file_id"], p.name] = (r[f"s{k}"] or 0.0, r[f"e{k}"])
     return out
@@ -83,7 +119,7 @@ def scores(spark: SparkSession, samples: dict[int, list[str]], profiles: Sequenc
 def detect(spark: SparkSession, path: str, registry: Registry) -> list[Match]:
     """The profiles that explain enough of a file, the best first: by score, then by priority, then as registered."""
     sample = head(spark, path, max((p.sample for p in registry.profiles), default=0))
-    found = scores(spark, {0: sample}, registry.profiles)
+    found = scores(spark.createDataFrame([(0, k + 1, x) for k, x in enumerate(sample)], "file_id int, line_no int, text string"), registry.profiles)
     name = path.rsplit("/", 1)[-1]
     matches = [Match(p, *found.get((0, p.name), (0.0, 0)), _names(p, name)) for p in registry.profiles]
     return sorted((m for m in matches if m.score >= m.profile.min_match), key=lambda m: (-m.score, -m.profile.priority))
@@ -254,25 +290,35 @@ def open_source(spark: SparkSession, paths: Sequence[str], registry: Registry |
     began, zone = time.time(), zone or local_zone()
     registry = registry or Registry.bundled_plus_user(zone=zone, now=now)
     tell = progress or (lambda phase, done, total: None)
-    listed = expand(spark, paths)
+    listed = _listed(spark, paths)
     if not listed:
         raise FileNotFoundError(f"no file to read in {', '.join(paths)}")
     own = {a.profile for a in adapters.ADAPTERS}
-    files, texts, pinned, converted = [], {}, {}, {}
-    for k, (name, path) in enumerate(listed):
-        tell("Converting", k, len(listed))
-        file = File(k, name, path)
-        adapter = adapters.claiming(adapters.first_line(spark, path))
-        if adapter:
-            made = adapter.convert(spark, file, zone)
-            texts[k], pinned[k], converted[name] = made.lines, adapter.profile, made.note
-        files.append(file)
+    files = [File(k, name, path) for k, (path, (name, _)) in enumerate(listed.items())]
+    most = max(p.sample for p in registry.profiles)
+    tell("Converting", 0, len(files))
+    sample, first = stored(heads(spark, files, most), "heads")
+    claimed = {r["file_id"]: r["adapter"] for r in sample.where("line_no = 1 AND adapter IS NOT NULL").select("file_id", "adapter").collect()}
+    sample = sample.where("adapter IS NULL AND line_no IS NOT NULL").select("file_id", "line_no", "text")
+    texts, pinned, converted = {}, {}, {}
+    for r in spark.read.parquet(first).where("line_no IS NULL").select("file_id").collect():  # of a store that only Spark reads
+        file = files[r["file_id"]]
+        if adapter := adapters.claiming(adapters.first_line(spark, file.path)):
+            claimed[file.file_id] = adapter.profile
+        else:
+            sample = sample.unionByName(spark.createDataFrame([(file.file_id, k + 1, x) for k, x in enumerate(head(spark, file.path, most))], "file_id int, line_no int, text string"))
+    for done, (k, name) in enumerate(claimed.items()):
+        tell("Converting", done, len(claimed))
+        made = next(a for a in adapters.ADAPTERS if a.profile == name).convert(spark, files[k], zone)
+        texts[k], pinned[k], converted[files[k].name] = made.lines, name, made.note
+        sample = sample.unionByName(made.lines.where(F.col("line_no") <= most).select("file_id", F.col("line_no").cast("int").alias("line_no"), "text"))
+    tell("Converting", len(claimed), len(claimed))
     tell("Detecting", 0, len(files))
-    size = {f.file_id: _size(spark, f.path) for f in files}
+    size = {f.file_id: listed[f.path][1] for f in files}
     largest = max(files, key=lambda f: (size[f.file_id], -f.file_id))
-    most = max(p.sample for p in registry.profiles)
-    samples = {f.file_id: [r["text"] for r in texts[f.file_id].where(F.col("line_no") <= most).orderBy("line_no").select("text").collect()] if f.file_id in texts else head(spark, f.path, most) for f in files}
-    found = scores(spark, samples, registry.profiles)
+    found = scores(sample, registry.profiles)
+    drop(spark, first)
+    tell("Detecting", len(files), len(files))
     if largest.file_id in pinned:
         profile = registry.named(pinned[largest.file_id])
         score = found.get((largest.file_id, profile.name), (0.0, 0)) if profile else (0.0, 0)
@@ -301,13 +347,26 @@ def open_source(spark: SparkSession, paths: Sequence[str], registry: Registry |
         every = every.unionByName(part)
     read, at = stored(fold.parsed(every, profile), "lines")
     classified = fold.classify_parsed(read, profile)
-    folded, once = stored(fold.fold(classified, profile), "folded")
+    tell("Indexing", len(accepted), len(accepted))
     tell("Merging", 0, len(accepted))
-    entries, where = numbered(merge.merge_time(folded), merge.MERGE_KEYS, "entries", cheap=True)
-    drop(spark, once)
-    return Source(spark, [p for _, p in listed], profile, best, [File(order[f.file_id], f.name, f.path) for f in accepted], entries, classified, zone, skipped, converted, [*registry.problems], time.time() - began, [at, where], registry)
-
-
-def _size(spark: SparkSession, path: str) -> int:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
+    entries, where = _merged(read, fold.fold(classified, profile))
+    tell("Merging", len(accepted), len(accepted))
+    return Source(spark, list(listed), profile, best, [File(order[f.file_id], f.name, f.path) for f in accepted], entries, classified, zone, skipped, converted, [*registry.problems], time.time() - began, [at, where], registry)
+
+
+def _merged(read: DataFrame, folded: DataFrame) -> tuple[DataFrame, str]:
+    """Entries with entry_id, their place in the merged stream, on a table, and its path. Files that follow one another in time need no merge: a file's entries stand behind those of the files before."""
+    spark = read.sparkSession
+    spans = read.groupBy("file_id").agg(F.count("_ms").alias("n"), F.min("_ms").alias("low"), F.max("_ms").alias("high")).where("n > 0").orderBy("low", "file_id").collect()  # a row for each file
+    if all(a["high"] < b["low"] or (a["high"] == b["low"] and a["file_id"] < b["file_id"]) for a, b in zip(spans, spans[1:], strict=False)):
+        starts, upto = [], 0
+        for r in spans:
+            starts.append((r["file_id"], upto))
+            upto += r["n"]
+        known = spark.createDataFrame(starts, "file_id int, _start long")
+        placed = folded.join(known, "file_id").withColumn("entry_id", F.col("_start") + F.col("seq") - 1).drop("_start")
+        return stored(placed, "entries")
+    once, path = stored(folded, "folded")
+    entries, where = numbered(merge.merge_time(once), merge.MERGE_KEYS, "entries", cheap=True)
+    drop(spark, path)
+    return entries.drop("merge_ms"), where
