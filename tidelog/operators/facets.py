@@ -87,3 +87,8 @@ def top_values(totals: DataFrame, counts: DataFrame, selected: Sequence[str] = (
 def peak(line: DataFrame) -> DataFrame:
     """peak: the largest bucket of a timeline over all levels, 1 at least."""
     return line.groupBy("bucket").agg(F.sum("n").alias("n")).agg(F.greatest(F.coalesce(F.max("n"), F.lit(0)), F.lit(1)).alias("peak"))
+
+
+def facet_peak(counts: DataFrame) -> DataFrame:
+    """peak: the largest count of a facet's values, 0 without any."""
+    return counts.agg(F.coalesce(F.max("n"), F.lit(0)).alias("peak"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidelog.functions import text as texts
 from tidelog.functions.timestamps import TimestampFormat
 from tidelog.operators import diagnostics, facets, fold, merge, results
-from tidelog.plans import edits
 from tidelog.plans.compiler import Facet, Shape, compile_query
 from tidelog.sources.adapters import JSON_LAYOUT, LOGCAT_LAYOUT, LOGCAT_LEVELS
 from tidelog.sources.canonical import INDENT
@@ -454,16 +453,13 @@ def conversation_files(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy("file_id").agg(F.max("line_no").alias("n"), F.max(F.col("byte_offset") + F.octet_length("raw") + 1).alias("bytes"))
 
 
-@registered()
-def query_edits(spark: SparkSession, sf: str) -> DataFrame:
-    """Edits of query text, which need no data."""
-    rows = [("toggle", edits.toggle("category:Sync", "category", "Wpp")), ("level", edits.toggle("level:W", "level", "E", list("VDIWE"))), ("clear", edits.clear("a level:W b", "level")), ("window", edits.set_window("x", "10:00", None))]
-    return spark.createDataFrame(rows, "edit string, query string")
-
-
 @registered()
 def detection(spark: SparkSession, sf: str) -> DataFrame:
     """The score of every bundled format on rendered event lines."""
     raw = _event_lines(spark, sf).select(F.col("raw").alias("text"))
     scores = [F.avg(p.accounts(F.col("text")).cast("double")).alias(p.name.replace("-", "_")) for p in Registry.bundled("UTC").profiles]
     return raw.agg(*scores)
+
+
+# registers the queries over files, which build on these
+from tidelog.plans import catalog_files  # noqa: E402, F401
