@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import text as texts
@@ -54,7 +54,7 @@ def opened_files(spark: SparkSession, sf: str) -> DataFrame:
     return _days(spark, sf).entries.select("entry_id", "file", "line_no", "ts_ms", F.col("level_ord").cast("long").alias("level_ord"), "tag", "message")
 
 
-@registered(_FILES + "SELECT row_number() OVER (ORDER BY entry_id) - 1 AS pos, entry_id, file, props AS message FROM e WHERE level_ord >= 2 AND file IN ('file0', 'file2') AND user_id % 2 = 0 AND entry_id >= 0 AND regexp_matches(props, ': [0-4][0-9]') ")
+@registered(_FILES + "SELECT row_number() OVER (ORDER BY entry_id) - 1 AS pos, entry_id, file, props AS message FROM e WHERE level_ord >= 2 AND file IN ('file0', 'file2') AND user_id % 2 = 0 AND regexp_matches(props, ': [0-4][0-9]') ")
 def opened_query(spark: SparkSession, sf: str) -> DataFrame:
     """A query over merged files, with the facet that merging adds."""
     source = _days(spark, sf)
@@ -81,14 +81,9 @@ def exported_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The text that an export has written, part after part."""
     path = fresh_path(spark, "export")
     _days(spark, sf).query("level:E").export(path)
-    read = spark.read.text(path).select(F.struct(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row")).alias("order"), F.substring_index("value", " -> ", -1).alias("props"))
-    return results.with_positions(read.withColumn("entry_id", F.row_number().over(_whole("order")) - 1)).select(F.col("pos").alias("at"), "props")
-
-
-def _whole(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)  # of a report's lines
+    in_file = F.struct("_metadata.file_name", F.monotonically_increasing_id())
+    read = spark.read.text(path).select(in_file.alias("order"), F.substring_index("value", " -> ", -1).alias("props"))
+    return read.select((F.row_number().over(Window.orderBy("order")) - 1).alias("at"), "props")  # of a report's lines
 
 
 @registered(_FILES + ", r AS (SELECT props, row_number() OVER (ORDER BY entry_id) - 1 AS pos FROM e WHERE level_ord = 3) SELECT string_agg(props, '|' ORDER BY pos) AS messages, 'Copied 3 of 8 entries' AS notice FROM r WHERE pos BETWEEN 2 AND 4")
@@ -141,7 +136,7 @@ def opened_logcat(spark: SparkSession, sf: str) -> DataFrame:
     return open_source(spark, [path], Registry.bundled("UTC"), "UTC").entries.select("entry_id", "ts_ms", "level", "pid", "tag", "process", "message")
 
 
-@registered("SELECT event_id AS key, epoch_ms(CASE WHEN at < TIMESTAMP '2026-03-29 03:00:00' THEN at - INTERVAL 1 HOUR ELSE at - INTERVAL 2 HOUR END) AS ms FROM (SELECT event_id, TIMESTAMP '2026-03-28 12:00:00' + to_seconds(event_id * 37 % 100000) AS at FROM events)")
+@registered("SELECT event_id AS key, epoch_ms(CASE WHEN clock < TIMESTAMP '2026-03-29 03:00:00' THEN clock - INTERVAL 1 HOUR ELSE clock - INTERVAL 2 HOUR END) AS ms FROM (SELECT event_id, TIMESTAMP '2026-03-28 12:00:00' + to_seconds(event_id * 37 % 100000) AS clock FROM events)")
 def local_times(spark: SparkSession, sf: str) -> DataFrame:
     """Local times around the hour that summer time skips: those in it move forward."""
     at = F.timestamp_millis(F.lit(1_774_699_200_000) + F.col("event_id") * 37 % 100_000 * 1000)  # 2026-03-28 12:00
