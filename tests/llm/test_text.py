@@ -176,6 +176,24 @@ def test_language_is_of_the_text_alone(larger):
     assert a == b
 
 
+def test_language_equals_sets_of_ngrams(larger):
+    """Against plain sets in place of the filter: its counts are near theirs, its decisions the same but for near ties."""
+    learn = larger.where(~langid.held_out()).where("lang IS NOT NULL")
+    model = langid.train(learn, least=0.0)
+    held: dict[str, set] = defaultdict(set)
+    for r in learn.collect():
+        held[r["lang"]] |= {*langid.grams(langid.folded(r["text"].encode())).tolist()}
+    told, same = 0, 0
+    for r in larger.where(langid.held_out()).collect():
+        values = langid.grams(langid.folded(r["text"].encode())).tolist()
+        exact = np.array([sum(v in held[x] for v in values) for x in model.names], float)
+        counts, n = model.counts(r["text"].encode())
+        assert n == len(values) and np.abs(counts - exact).max() <= 0.05 * n + 3
+        told += 1
+        same += model.names[int(np.argmax(counts))] == model.names[int(np.argmax(exact))] or np.ptp(np.sort(exact)[-2:]) <= 0.05 * n
+    assert told > 150 and same == told
+
+
 def test_more_languages_than_bits_of_a_word(make):
     rng = random.Random(3)
     names = [f"l{k:03d}" for k in range(70)]
@@ -287,6 +305,45 @@ def test_flat_trees_equal_a_walk():
     assert forest.raw(x[:50]) == pytest.approx([walk(r) for r in x[:50]])
 
 
+def test_trees_equal_plain_loops():
+    """Splits of the histograms against a search of all thresholds by loops."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, (60, 3)).astype(np.float32)
+    y = (x[:, 0] + x[:, 1] * (x[:, 2] > 4) + rng.integers(0, 4, 60) > 9).astype(float)
+    forest = quality.fit(x, y, trees=5, depth=2, bins=64)
+    raw = np.full(60, np.log((y.sum() + 0.5) / 61 / (1 - (y.sum() + 0.5) / 61)))
+
+    def grow(rows, g, h, depth):
+        sg, sh = g[rows].sum(), h[rows].sum()
+        value = -quality.RATE * sg / (sh + quality.RIDGE)
+        best = (1e-6, None)
+        for f in range(3) if depth and len(rows) >= 2 * quality.LEAST_CHILD else []:
+            for at in sorted({*x[:, f].tolist()})[:-1]:
+                left = [r for r in rows if x[r, f] <= at]
+                if min(len(left), len(rows) - len(left)) < quality.LEAST_CHILD:
+                    continue
+                a, b = g[left].sum(), h[left].sum()
+                gain = a * a / (b + quality.RIDGE) + (sg - a) ** 2 / (sh - b + quality.RIDGE) - sg * sg / (sh + quality.RIDGE)
+                if gain > best[0] + 1e-12:
+                    best = (gain, (f, at))
+        if best[1] is None:
+            return {r: value for r in rows}
+        f, at = best[1]
+        return grow([r for r in rows if x[r, f] <= at], g, h, depth - 1) | grow([r for r in rows if x[r, f] > at], g, h, depth - 1)
+
+    for _ in range(5):
+        p = 1 / (1 + np.exp(-raw))
+        leaves = grow(list(range(60)), p - y, np.maximum(p * (1 - p), 1e-9), 2)
+        raw = raw + np.array([leaves[r] for r in range(60)])
+    assert forest.raw(x) == pytest.approx(raw)
+
+
+def test_quality_learns_the_same_in_any_order(spark, larger):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    a, b = (quality.train(quality.measured(d).where(~quality.held_out()), labels) for d in (larger, larger.repartition(7)))
+    assert (a.threshold == b.threshold).all() and (a.value == b.value).all() and len(a.value) == quality.TREES
+
+
 def test_quality_odd(spark, odd, nothing):
     labels = spark.createDataFrame([(6, 1, "a"), (9, 0, "b"), (None, 1, "c"), (7, None, "d")], "doc_id long, quality int, text string")
     out = quality.classify(odd, labels).collect()

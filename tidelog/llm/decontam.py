@@ -242,7 +242,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs, all columns, in which no window of an item occurs."""
+    """The rows of docs, all columns, in which no window of an item occurs. Null and empty texts hold none and stay; items without words have no window; rows that repeat are judged each; columns may have any names; an empty benchmark leaves all."""
     left = docs
     for block in blocks(benchmark, item_id, "text", block_words):
         packed = left.select(F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("_all"), F.col(text).alias("_body"))

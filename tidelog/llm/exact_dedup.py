@@ -1,6 +1,6 @@
 """Exact dedup: a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Every input partition is a run of digests. In binomial rounds, FAN_IN runs at a time are exchanged, dealt by a segment of the digest, so that no merge holds a whole run, and merged in digest order (a sort aggregate). Each round keeps, for each digest, the smallest identifier and the number of rows, after it has verified that the rows also agree in a second digest and the length. The last run tells every document which row of its group stays.
+Every input partition is a run of digests. In binomial rounds, FAN_IN runs at a time are exchanged, dealt by digest, so that no merge holds a whole run, and merged in digest order (a sort aggregate). Each round keeps, for each digest, the smallest identifier and the number of rows, after it has verified that the rows also agree in a second digest and the length. The last run tells every document which row of its group stays.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def merge(part: DataFrame) -> DataFrame:
     """One round: the runs of a group of FAN_IN become one."""
     moved = part.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int"))
-    out = moved.groupBy("run", "segment", "digest").agg(F.min("least").alias("least"), F.sum("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("_most"))
+    out = moved.groupBy("run", "digest").agg(F.min("least").alias("least"), F.sum("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("_most"))
     same = F.when(F.col("check") == F.col("_most"), F.col("check")).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")))
     return out.withColumn("check", same).drop("_most")
 
@@ -43,7 +43,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     rows = kept_table(runs(docs, doc_id, text), "digests")
     last = rows.agg(F.coalesce(F.max("run"), F.lit(0)).alias("run"), F.count(F.lit(1)).alias("n")).first()
-    level = rows.select("run", F.substring("digest", 1, 4).alias("segment"), "digest", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("least"), F.lit(1).cast("long").alias("n"), "check")
+    level = rows.select("run", "digest", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("least"), F.lit(1).cast("long").alias("n"), "check")
     most = last["run"]
     while True:
         level, most = merge(level), most // FAN_IN

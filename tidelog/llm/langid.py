@@ -102,7 +102,7 @@ class Filter:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, least: float = LEAST) -> Filter:
     """A filter from the rows of docs with a text and a language: of each language the rows whose hash lies in the share that makes about sample rows.
 
-    The rows are a bounded sample, so are their n-grams, which the driver gathers where enough rows hold them.
+    The rows are a bounded sample, so are their n-grams, which the driver gathers where enough rows hold them. Null texts and languages teach nothing, empty texts have no n-gram, rows that repeat teach each; without rows no language is known.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), unit(F.col(doc_id).cast("string"), F.col(text)).alias("_u"))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
@@ -154,14 +154,14 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score and known: learnt from the rows outside the fold, told for all."""
+    """doc_id, held_out, lang_pred, score and known: learnt from the rows outside the fold, told for all. Nulls, empty texts, ties and repeats as in identify()."""
     model = train(docs.where(~held_out(doc_id)), doc_id, text, lang)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_body"))
     return identify(slim, model, "_body").select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "known")
 
 
 def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least_known: float = 0.2) -> DataFrame:
-    """The rows of docs that are in some learnt language: not und, and with least_known of the n-grams in it."""
+    """The rows of docs that are in some learnt language: not und, and with least_known of the n-grams in it. Null and empty texts go, rows that repeat are judged each, columns may have any names; without labelled rows all stay; an empty table gives no rows."""
     model = train(docs.where(~held_out(doc_id)), doc_id, text, lang)
     if not model.names:  # nothing is known of any language, so nothing can be rejected for it
         return docs

@@ -144,11 +144,13 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def train(rows: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Forest:
-    """From measured rows and labels (doc_id and the label), joined, the rows whose hash lies in the share that makes about sample rows; a null label or doc_id teaches nothing."""
+    """From measured rows and labels (doc_id and the label), joined, the rows whose hash lies in the share that makes about sample rows; a null label or doc_id teaches nothing. Empty and null texts teach as what they are; rows that repeat teach each; reruns give the same trees; without rows the forest is the prior."""
     known = labels.select(F.col("doc_id"), F.col(label).alias("_y")).where(F.col("_y").isNotNull())
     share = sample / max(1, known.count())
     taught = rows.join(known.where(unit(F.col("doc_id").cast("string")) < share), "doc_id")
-    table = taught.select("x", F.col("_y").cast("double").alias("_y")).toArrow()
+    table = taught.select("x", F.col("_y").cast("double").alias("_y"), "doc_id").toArrow()
+    # sums of floats depend on their order, and tasks end in any: the rows are learnt from in one that they fix themselves
+    table = table.take(pa.array(sorted(range(len(table)), key=list(zip(table["doc_id"].to_pylist(), table["_y"].to_pylist(), table["x"].to_pylist(), strict=True)).__getitem__), pa.int64()))
     y = table["_y"].to_numpy()
     x = table["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)) if len(y) else np.empty((0, len(NAMES)), np.float32)
     return fit(x.astype(np.float32), y)
