@@ -261,8 +261,11 @@ def test_components_of_chains_and_stars(spark):
 # suffix arrays
 
 
+@pytest.mark.parametrize(("bucket", "words"), [(0, 4), (10**9, 4), (0, 0), (10**9, 1)])
 @pytest.mark.parametrize("alphabet", [b"a", b"ab", b"abcde"])
-def test_suffix_array(alphabet, monkeypatch):
+def test_suffix_array(alphabet, bucket, words, monkeypatch):
+    monkeypatch.setattr(suffix_array, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_array, "WORDS", words)
     monkeypatch.setattr(suffix_array, "SHORT", 1)
     rng = random.Random(len(alphabet))
     for _ in range(400):

@@ -9,6 +9,10 @@ import numpy as np
 
 #: Strings up to this length, as the recursion ends in, are sorted outright.
 SHORT = 100
+#: Values that a bucket holds on average, at least, where buckets are induced from as a whole; smaller ones are induced from value by value.
+BUCKET = 100
+#: Machine words that hold an LMS substring of names, at most, where these are sorted by number.
+WORDS = 4
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -46,6 +50,60 @@ def _induce(values: list[int], before_l: list[int], before_s: list[int], counts:
     return out
 
 
+def _induce_buckets(s: np.ndarray, before_l: np.ndarray, before_s: np.ndarray, counts: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same as _induce, a bucket at a time: what a bucket's suffixes induce goes to the buckets of other values in one step, and to its own in further ones."""
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    out = np.empty(len(s), np.int64)
+    place = np.arange(len(s))
+    used = np.flatnonzero(counts)
+    firsts = s[lms]
+    seeds = lms[np.argsort(firsts, kind="stable")]
+    upto = np.cumsum(np.bincount(firsts, minlength=len(counts)))
+
+    def grouped(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        values = s[k]
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        n = np.empty(len(first), np.int64)
+        n[:-1], n[-1] = first[1:] - first[:-1], len(k) - first[-1]
+        return k[order], values[first], first, n
+
+    head = begins.copy()
+
+    def ahead(k: np.ndarray) -> None:
+        k = k[k >= 0]
+        if len(k):
+            k, value, first, n = grouped(k)
+            out[np.repeat(head[value] - first, n) + place[: len(k)]] = k
+            head[value] += n
+
+    for c in used.tolist():
+        done = begins[c]
+        while done < head[c]:
+            done, part = head[c], out[done : head[c]]
+            ahead(before_l[part])
+        ahead(before_l[seeds[upto[c - 1] if c else 0 : upto[c]]])
+    tail = ends.copy()
+
+    def back(k: np.ndarray) -> None:
+        k = k[k >= 0]
+        if len(k):
+            k, value, first, n = grouped(k)
+            out[np.repeat(tail[value] + first - 1, n) - place[: len(k)]] = k
+            tail[value] -= n
+
+    for c in used[::-1].tolist():
+        done = ends[c]
+        while done > tail[c]:
+            done, part = tail[c], out[tail[c] : done]
+            back(before_s[part[::-1]])
+        back(before_s[out[begins[c] : head[c]][::-1]])
+    out[0] = len(s) - 1  # nothing stands behind the unique smallest value
+    return out
+
+
 def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
     """A name for each LMS substring, in the order of the sorted ones; equal substrings share one."""
     end = np.concatenate([lms[1:], lms[-1:]])
@@ -65,8 +123,31 @@ def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return names, int(names[-1]) + 1
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """The starts of the suffixes of s in order. s holds integers from 0 on and ends in its only 0."""
+def _packed(s: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """LMS positions in the order of their substrings, and the substrings' names, from numbers that hold their values; None if they are too long for that.
+
+    A substring ends with the next LMS. If it is the beginning of another one, that one goes on with an L there, which is smaller than the S of the same value; so what stands behind a substring's end counts as larger than all values.
+    """
+    length = np.concatenate([lms[1:], lms[-1:]]) - lms + 1
+    most, behind = int(length.max()), int(s.max()) + 1
+    bits = behind.bit_length()
+    each = 63 // bits
+    words = -(-most // each)
+    if words > WORDS:
+        return None
+    at = lms[:, None] + np.arange(words * each)
+    values = np.where(np.arange(words * each) < length[:, None], s[np.minimum(at, len(s) - 1)], behind)
+    keys = values.reshape(len(lms), words, each) @ (np.int64(1) << (bits * np.arange(each - 1, -1, -1, dtype=np.int64)))
+    order = np.lexsort(keys.T[::-1]) if words > 1 else np.argsort(keys[:, 0], kind="stable")
+    keys = keys[order]
+    return lms[order], np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
+
+
+def suffix_array(s: np.ndarray, depth: int = 0) -> np.ndarray:
+    """The starts of the suffixes of s in order. s holds integers from 0 on and ends in its only 0.
+
+    LMS substrings of the text are sorted by inducing. Those of the names that the recursion sorts are few and short; where numbers hold them, these are sorted instead.
+    """
     n = len(s)
     if n <= SHORT:
         whole = s.tolist()
@@ -76,17 +157,26 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     lms = np.flatnonzero(is_lms)
     counts = np.bincount(s)
     place = np.arange(-1, n - 1)
-    after_l = np.concatenate([[-1], np.where(small[:-1], -1, place[1:])])
-    after_s = np.concatenate([[-1], np.where(small[:-1], place[1:], -1)])
-    values, before_l, before_s = s.tolist(), after_l.tolist(), after_s.tolist()
-    rough = np.array(_induce(values, before_l, before_s, counts, lms.tolist()), np.int64)
-    order = rough[is_lms[rough]]
-    names, different = _names(s, lms, order)
+    before_l = np.concatenate([[-1], np.where(small[:-1], -1, place[1:])])
+    before_s = np.concatenate([[-1], np.where(small[:-1], place[1:], -1)])
+    if n >= BUCKET * np.count_nonzero(counts):
+        induce = lambda order: _induce_buckets(s, before_l, before_s, counts, order)
+    else:
+        lists = s.tolist(), before_l.tolist(), before_s.tolist()
+        induce = lambda order: np.array(_induce(*lists, counts, order.tolist()), np.int64)
+    found = _packed(s, lms) if depth else None
+    if found is None:
+        rough = induce(lms)
+        order = rough[is_lms[rough]]
+        names, different = _names(s, lms, order)
+    else:
+        order, names = found
+        different = int(names[-1]) + 1
     if different < len(lms):
         named = np.zeros(n, np.int64)
         named[order] = names
-        order = lms[suffix_array(named[lms])]
-    return np.array(_induce(values, before_l, before_s, counts, order.tolist()), np.int64)
+        order = lms[suffix_array(named[lms], depth + 1)]
+    return induce(order)
 
 
 def permuted_prefixes(data: bytes, order: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -22,8 +22,8 @@ from tidelog.llm.common import kept_table, lookup, texts_of
 from tidelog.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 72
-#: Contexts of a shard that share a suffix array, at most; bytes of small shards that share one (about what a processor's cache holds).
-WIDE, SHARED_BYTES = 1_000, 6_000
+#: Contexts of a shard that share a suffix array, at most; bytes of small shards that share one.
+WIDE, SHARED_BYTES = 1_000, 30_000
 #: Ranges of the anchor's place that make sub-shards, one after the other.
 WIDTHS = (16, 4, 1)
 #: Windows of a text that are worked on at once.
