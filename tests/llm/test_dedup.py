@@ -142,9 +142,9 @@ def test_names_and_hashes_that_clash(spark, monkeypatch):
         assert sorted(tuple(r) for r in dedup(docs).collect()) == sorted(tuple(r) for r in docs.where("doc_id != 2").collect())
     real, seeds = simhash._sets, []
 
-    def weak(shared, seed):
+    def weak(shared, seed, prints):
         seeds.append(seed)
-        run = real(shared, seed)
+        run = real(shared, seed, prints)
 
         def clash(batches):
             for batch in run(batches):
@@ -251,6 +251,25 @@ def test_similar_equals_brute_force(make, monkeypatch, block):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(root))
 
 
+def test_groups_of_both_links(make, monkeypatch):
+    """With fingerprints: the components of all pairs that are within 3 bits or similar."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(20):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([2, 4, 30, 200]))]
+        texts += [words, [*words, "more"], mutated(words, 0.02, rng), mutated(words, 0.3, rng)]
+    prints = [simhash.simhash(simhash.shingle_hashes(" ".join(w).encode())) for w in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if (cosine(a, b) >= 0.8 - 1e-12 or (prints[i] ^ prints[j]).bit_count() <= 3) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    docs = make([(k, " ".join(w)) for k, w in enumerate(texts)])
+    assert sorted(r["doc_id"] for r in simhash.similar_dedup(docs, prints=True).collect()) == sorted(set(root))
+    assert simhash.similar_dedup(make([(3, None), (2, ""), (None, " ")]), prints=True).collect()[0]["doc_id"] == 2
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(200, 200), (300, 299)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -359,10 +359,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prints: bool = False) -> DataFrame:
     """The rows of docs, all columns, one of each group of similar texts: that with the smallest doc_id, null last; of rows that tie, one.
 
-    Similar are texts whose sets of five-word shingles (64-bit hashes) have a cosine of 0.8 or more; a group is what such links connect. Candidates come from an exact prefix filter and are verified by a count of their shingles, so no pair is missed and none is guessed. Null and empty texts are similar to each other only; columns of docs may have any names; an empty table gives no rows.
+    Similar are texts whose sets of five-word shingles (64-bit hashes) have a cosine of 0.8 or more, and with prints also those that simhash_components() links; a group is what such links connect. Candidates come from an exact prefix filter and are verified by a count of their shingles, so no pair is missed and none is guessed. Null and empty texts are similar to each other only; columns of docs may have any names; an empty table gives no rows.
     """
     a, b = row_key(docs)
     slim = docs.select(F.col(doc_id).alias("doc_id"), a.alias("a"), b.alias("b"), F.col(text).cast("binary").alias("text"))
@@ -372,7 +372,7 @@ def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     seed = SEED - 1
     while True:
         seed += 1
-        made = slim.mapInArrow(_sets(shared, seed), f"doc_id {kind}, a long, b long, node long, sure long, size long, prefix array<long>")
+        made = slim.mapInArrow(_sets(shared, seed, prints), f"doc_id {kind}, a long, b long, node long, sure long, fp long, size long, prefix array<long>")
         rows = kept_table(made, "sets")
         one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
         # equal sets are one node; two hashes tell whether it is one set
@@ -385,7 +385,8 @@ def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     texts = kept_table(slim.select("a", "b", "text").join(wanted, ["a", "b"]).select("node", "text").dropDuplicates(["node"]), "texts")
     # each node with one other first: that links most of a large group, whose other pairs then need no look
     star = kept_table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
-    near = kept_table(_verified(star, texts), "near")
+    near = _verified(star, texts)
+    near = kept_table(near.union(_print_links(rows)) if prints else near, "near")
     roots = components(near)
     ends = pairs.join(star, ["a", "b"], "left_anti")
     for end in ("a", "b"):
@@ -398,18 +399,29 @@ def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return stay(docs, kept_table(stays, "stays"))
 
 
-def _sets(shared, seed: int):
-    """Rows (doc_id, a, b, text): two hashes of each text's shingle set, its size and its prefix."""
+def _print_links(rows: DataFrame) -> DataFrame:
+    """(a, b): each node of rows (node, fp) with the smallest of its class of linked fingerprints."""
+    own = kept_table(rows.select("fp", "node").distinct(), "own")
+    found = classes(own)
+    rooted = kept_table(lookup(own, found, ["fp"], "n", own.count()).select("root", "node"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("node").alias("a"))
+    return rooted.join(least, "root").where("a != node").select("a", F.col("node").alias("b"))
+
+
+def _sets(shared, seed: int, prints: bool = False):
+    """Rows (doc_id, a, b, text): two hashes of each text's shingle set, its fingerprint where it is asked for, its size and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 cut = batch.slice(start, 1000)
-                sets = [shingle_set(x) for x in texts_of(cut, "text")]
+                texts = texts_of(cut, "text")
+                sets = [shingle_set(x) for x in texts]
                 firsts = [prefix(s, *shared.value) for s in sets]
+                fp = np.array([simhash(shingle_hashes(x or b"")) if prints else 0 for x in texts], np.uint64).view(np.int64)
                 ends = np.cumsum([0, *map(len, firsts)])
                 arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64)))
                 halves = [pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), x) for s in sets], np.uint64).view(np.int64)) for x in (seed, seed + 1)]
-                yield pa.RecordBatch.from_arrays([*cut.columns[:3], *halves, pa.array([len(s) for s in sets], pa.int64()), arrays], ["doc_id", "a", "b", "node", "sure", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([*cut.columns[:3], *halves, pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), arrays], ["doc_id", "a", "b", "node", "sure", "fp", "size", "prefix"])
 
     return run
