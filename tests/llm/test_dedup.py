@@ -251,6 +251,21 @@ def test_similar_equals_brute_force(make, monkeypatch, block):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(root))
 
 
+def test_bins_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(6)
+    sets, pairs = [], []
+    for k in range(0, 120, 2):
+        n = int(rng.choice([0, 1, 5, 300, 3000]))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.7, 0.85, 1.0])], rng.integers(0, 2**63, n // 8, dtype=np.uint64)]))
+        sets += [(k, len(a), bytearray(simhash.bins(a))), (k + 1, len(b), bytearray(simhash.bins(b)))]
+        pairs.append((k, k + 1, bool(simhash.is_similar(len(np.intersect1d(a, b)), len(a), len(b)))))
+    table = spark.createDataFrame(sets, "node long, size long, bins binary")
+    kept = {r["a"] for r in simhash._possible(spark.createDataFrame([p[:2] for p in pairs], "a long, b long"), table).collect()}
+    similar = {a for a, _, s in pairs if s}
+    assert similar <= kept and len(similar) > 10 and len(kept) < len(similar) + 6
+
+
 def test_groups_of_both_links(make, monkeypatch):
     """With fingerprints: the components of all pairs that are within 3 bits or similar."""
     rng = random.Random(3)

@@ -337,6 +337,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bins(members: np.ndarray) -> bytes:
+    """A set in 16 bits a member: the bin of each, sorted."""
+    return np.sort((members & np.uint64(0xFFFF)).astype("<u2")).tobytes()
+
+
+def _possible(pairs: DataFrame, binned: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets may be similar by their bins (node, size, bins): sets share no more members than their bins have in common, so no similar pair goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, left = None, np.empty(0, np.int64)
+        for batch in batches:
+            a, sizes, others = batch.column(0).to_pylist(), *(batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            first, second, common = batch.column(4), batch.column(5), np.zeros(len(batch), np.int64)
+            for k, node in enumerate(a):
+                if node != seen:
+                    seen, left = node, np.bincount(np.frombuffer(first[k].as_buffer(), "<u2"), minlength=1 << 16)
+                right = np.frombuffer(second[k].as_buffer(), "<u2")
+                ends = np.append(np.flatnonzero(right[1:] != right[:-1]) + 1, len(right)) if len(right) else np.empty(0, np.int64)
+                common[k] = np.minimum(left[right[ends - 1]], np.diff(ends, prepend=0)).sum()
+            hit = pa.array(is_similar(common, sizes.astype(np.int64), others.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], ["a", "b"])
+
+    one, other = (binned.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab")
+    return pairs.join(other, "b").join(one, "a").select("a", "b", "size_a", "size_b", "bins_a", "bins_b").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose texts (node, text) are similar, by a count of their shingles."""
 
@@ -362,7 +388,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prints: bool = False) -> DataFrame:
     """The rows of docs, all columns, one of each group of similar texts: that with the smallest doc_id, null last; of rows that tie, one.
 
-    Similar are texts whose sets of five-word shingles (64-bit hashes) have a cosine of 0.8 or more, and with prints also those that simhash_components() links; a group is what such links connect. Candidates come from an exact prefix filter and are verified by a count of their shingles, so no pair is missed and none is guessed. Null and empty texts are similar to each other only; columns of docs may have any names; an empty table gives no rows.
+    Similar are texts whose sets of five-word shingles (64-bit hashes) have a cosine of 0.8 or more, and with prints also those that simhash_components() links; a group is what such links connect. Candidates come from an exact prefix filter and are verified by a count of their shingles, those that their shingles' 16-bit bins rule out aside, so no pair is missed and none is guessed. Null and empty texts are similar to each other only; columns of docs may have any names; an empty table gives no rows.
     """
     a, b = row_key(docs)
     slim = docs.select(F.col(doc_id).alias("doc_id"), a.alias("a"), b.alias("b"), F.col(text).cast("binary").alias("text"))
@@ -372,7 +398,7 @@ def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     seed = SEED - 1
     while True:
         seed += 1
-        made = slim.mapInArrow(_sets(shared, seed, prints), f"doc_id {kind}, a long, b long, node long, sure long, fp long, size long, prefix array<long>")
+        made = slim.mapInArrow(_sets(shared, seed, prints), f"doc_id {kind}, a long, b long, node long, sure long, fp long, size long, bins binary, prefix array<long>")
         rows = kept_table(made, "sets")
         one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
         # equal sets are one node; two hashes tell whether it is one set
@@ -380,12 +406,19 @@ def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         if nodes.where("clash").isEmpty():
             break
     pairs = kept_table(candidates(rows, listed, times), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(asked, "node", "left_semi").select("node", "one.a", "one.b")
-    texts = kept_table(slim.select("a", "b", "text").join(wanted, ["a", "b"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    ends_of = lambda some: some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
+    # a set's bins come from the row that stands for the node
+    binned = kept_table(rows.select("node", "a", "b", "size", "bins").join(nodes.join(ends_of(pairs), "node", "left_semi").select("node", "one.a", "one.b"), ["node", "a", "b"]).dropDuplicates(["node"]).select("node", "size", "bins"), "bins")
+
+    def similar(some: DataFrame) -> DataFrame:
+        likely = kept_table(_possible(some, binned), "likely")
+        wanted = nodes.join(ends_of(likely), "node", "left_semi").select("node", "one.a", "one.b")
+        texts = kept_table(slim.select("a", "b", "text").join(wanted, ["a", "b"]).select("node", "text").dropDuplicates(["node"]), "texts")
+        return _verified(likely, texts)
+
     # each node with one other first: that links most of a large group, whose other pairs then need no look
     star = kept_table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
-    near = _verified(star, texts)
+    near = similar(star)
     near = kept_table(near.union(_print_links(rows)) if prints else near, "near")
     roots = components(near)
     ends = pairs.join(star, ["a", "b"], "left_anti")
@@ -393,7 +426,7 @@ def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
     rest = kept_table(ends.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "rest")
     if not rest.isEmpty():
-        roots = components(near.union(_verified(rest, texts)))
+        roots = components(near.union(similar(rest)))
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = grouped.groupBy("root").agg(F.min("one").alias("one")).select("one.a", "one.b")
     return stay(docs, kept_table(stays, "stays"))
@@ -409,7 +442,7 @@ def _print_links(rows: DataFrame) -> DataFrame:
 
 
 def _sets(shared, seed: int, prints: bool = False):
-    """Rows (doc_id, a, b, text): two hashes of each text's shingle set, its fingerprint where it is asked for, its size and its prefix."""
+    """Rows (doc_id, a, b, text): two hashes of each text's shingle set, its fingerprint where it is asked for, its size, its bins and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -422,6 +455,6 @@ def _sets(shared, seed: int, prints: bool = False):
                 ends = np.cumsum([0, *map(len, firsts)])
                 arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64)))
                 halves = [pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), x) for s in sets], np.uint64).view(np.int64)) for x in (seed, seed + 1)]
-                yield pa.RecordBatch.from_arrays([*cut.columns[:3], *halves, pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), arrays], ["doc_id", "a", "b", "node", "sure", "fp", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([*cut.columns[:3], *halves, pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.array([bins(s) for s in sets], pa.binary()), arrays], ["doc_id", "a", "b", "node", "sure", "fp", "size", "bins", "prefix"])
 
     return run
