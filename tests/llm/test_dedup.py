@@ -170,11 +170,6 @@ def jaccard(a, b, size=5):
     return len(x & y) / len(x | y)
 
 
-def cosine(a, b, size=5):
-    x, y = ({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (a, b))
-    return len(x & y) / (len(x) * len(y)) ** 0.5
-
-
 def test_similar_texts_are_one_group(make):
     rng = random.Random(11)
     rows, near, k = [], [], 0
@@ -184,13 +179,13 @@ def test_similar_texts_are_one_group(make):
         for rate in (0.008, 0.015, 0.12):
             copy = mutated(words, rate, rng)
             rows.append((k + 1 + (0.008, 0.015, 0.12).index(rate), " ".join(copy)))
-            near.append((k + 1 + (0.008, 0.015, 0.12).index(rate), cosine(words, copy)))
+            near.append((k + 1 + (0.008, 0.015, 0.12).index(rate), jaccard(words, copy)))
         k += 10
     left = {r["doc_id"] for r in simhash.similar_dedup(make(rows)).collect()}
     assert all(d in left for d in range(0, 600, 10))  # the smallest of each group
     close = [d for d, c in near if c >= 0.8]
-    far = [d for d, c in near if c < 0.7]  # the copies of a text are not similar through each other
-    assert len(close) > 60 and len(far) > 30
+    far = [d for d, c in near if c < 0.6]  # the copies of a text are not similar through each other
+    assert len(close) > 40 and len(far) > 30
     assert not any(d in left for d in close) and all(d in left for d in far)
 
 
@@ -244,7 +239,7 @@ def test_similar_equals_brute_force(make, monkeypatch, block):
     root = list(range(len(texts)))
     for i, a in enumerate(texts):
         for j, b in enumerate(texts[:i]):
-            if cosine(a, b) >= 0.8 - 1e-12 and root[i] != root[j]:
+            if jaccard(a, b) >= 0.8 and root[i] != root[j]:
                 low, high = sorted((root[i], root[j]))
                 root = [low if x == high else x for x in root]
     left = simhash.similar_dedup(make([(k, " ".join(w)) for k, w in enumerate(texts)]))
@@ -277,7 +272,7 @@ def test_groups_of_both_links(make, monkeypatch):
     root = list(range(len(texts)))
     for i, a in enumerate(texts):
         for j, b in enumerate(texts[:i]):
-            if (cosine(a, b) >= 0.8 - 1e-12 or (prints[i] ^ prints[j]).bit_count() <= 3) and root[i] != root[j]:
+            if (jaccard(a, b) >= 0.8 or (prints[i] ^ prints[j]).bit_count() <= 3) and root[i] != root[j]:
                 low, high = sorted((root[i], root[j]))
                 root = [low if x == high else x for x in root]
     docs = make([(k, " ".join(w)) for k, w in enumerate(texts)])

@@ -218,7 +218,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grou
     return stay(docs, kept_table(stays.select("one.a", "one.b"), "stays"))
 
 
-#: Similar texts: sets of five-word shingles with a cosine, the similarity that SimHash stands for, of 4 / 5 or more. The order of shingles is learnt from about SAMPLED texts: those that OFTEN or more of them hold come last, LISTED of these at most.
+#: Similar texts: sets of five-word shingles with a Jaccard similarity of 4 / 5 or more. The order of shingles is learnt from about SAMPLED texts: those that OFTEN or more of them hold come last, LISTED of these at most.
 SIMILAR_SHINGLE, SAMPLED, OFTEN, LISTED = 5, 8000, 3, 100_000
 
 
@@ -228,19 +228,19 @@ def shingle_set(text: bytes | None) -> np.ndarray:
 
 
 def is_similar(common: np.ndarray | int, left: np.ndarray | int, right: np.ndarray | int) -> np.ndarray | bool:
-    """Whether sets of left and right members with so many in common have a cosine, common / sqrt(left * right), of 4 / 5 or more, in whole numbers."""
-    return 25 * common * common >= 16 * left * right
+    """Whether sets of left and right members with so many in common have a Jaccard similarity of 4 / 5 or more, in whole numbers."""
+    return 9 * common >= 4 * (left + right)
 
 
 def prefix(members: np.ndarray, listed: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The first members of a set, in the order of shingles, one of which every similar set has among its own first ones: similar sets share 16 / 25 of the members of each at least."""
+    """The first members of a set, in the order of shingles, one of which every similar set has among its own first ones: similar sets share 4 / 5 of the members of each at least."""
     if not len(members):
         return members
     count = np.zeros(len(members), np.int64)
     if len(listed):
         at = np.minimum(np.searchsorted(listed, members), len(listed) - 1)
         count = np.where(listed[at] == members, times[at], 0)
-    return members[np.argsort(count, kind="stable")[: len(members) - (16 * len(members) + 24) // 25 + 1]]
+    return members[np.argsort(count, kind="stable")[: len(members) - (4 * len(members) + 4) // 5 + 1]]
 
 
 def _frequent(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -388,7 +388,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prints: bool = False) -> DataFrame:
     """The rows of docs, all columns, one of each group of similar texts: that with the smallest doc_id, null last; of rows that tie, one.
 
-    Similar are texts whose sets of five-word shingles (64-bit hashes) have a cosine of 0.8 or more, and with prints also those that simhash_components() links; a group is what such links connect. Candidates come from an exact prefix filter and are verified by a count of their shingles, those that their shingles' 16-bit bins rule out aside, so no pair is missed and none is guessed. Null and empty texts are similar to each other only; columns of docs may have any names; an empty table gives no rows.
+    Similar are texts whose sets of five-word shingles (64-bit hashes) have a Jaccard similarity of 0.8 or more, and with prints also those that simhash_components() links; a group is what such links connect. Candidates come from an exact prefix filter and are verified by a count of their shingles, those that their shingles' 16-bit bins rule out aside, so no pair is missed and none is guessed. Null and empty texts are similar to each other only; columns of docs may have any names; an empty table gives no rows.
     """
     a, b = row_key(docs)
     slim = docs.select(F.col(doc_id).alias("doc_id"), a.alias("a"), b.alias("b"), F.col(text).cast("binary").alias("text"))
