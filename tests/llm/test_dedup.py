@@ -246,6 +246,17 @@ def test_similar_equals_brute_force(make, monkeypatch, block):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(root))
 
 
+def test_texts_that_share_a_shingle_by_chance_are_no_candidates(spark):
+    rng = np.random.default_rng(8)
+    shared = np.array([1], np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(2, 2**63, 299, dtype=np.uint64)])) for _ in range(40)]
+    sets += [np.unique(np.concatenate([sets[0][:290], rng.integers(2, 2**63, 10, dtype=np.uint64)]))]
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    rows = [(k, len(x), simhash.prefix(x, *none).view(np.int64).tolist()) for k, x in enumerate(sets)]
+    found = simhash.candidates(spark.createDataFrame(rows, "node long, size long, prefix array<long>"), *none)
+    assert [tuple(r) for r in found.collect()] == [(0, 40)]
+
+
 def test_bins_rule_out_no_similar_pair(spark):
     rng = np.random.default_rng(6)
     sets, pairs = [], []

@@ -1,12 +1,14 @@
 """The pipeline's stages and run against what the operators' brute force gives, and the registered queries."""
 
 import importlib.util
+import time
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidelog.functions import store
 from tidelog.llm import catalog, decontam, langid, mixing, simhash
 from tidelog.llm.common import kept_table
 
@@ -45,6 +47,25 @@ def test_stages_work_on_what_is_left(spark, stages):
     assert ids(a4) == ids(d4)
 
 
+def shuffled(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {str(files.apply(k)) for k in range(files.size()) if "/shuffle_" in str(files.apply(k)) and str(files.apply(k)).endswith(".data")}
+
+
+def test_near_copies_leave_little_on_disk(spark):
+    """Of the tables between, the keys of the rows that stay; shuffle files go with the write that needed them."""
+    docs, before = spark.read.parquet(f"{SF}/documents.parquet"), {*store._made}
+    corpus_pipeline.near_copies(spark, docs, SF)
+    made = {*store._made} - before
+    assert len(made) == 1 and spark.read.parquet(*made).columns == ["a", "b"]
+    there = shuffled(spark)
+    store.stored(docs.repartition(3, "doc_id"), "dealt")
+    ends = time.monotonic() + 20
+    while shuffled(spark) - there and time.monotonic() < ends:
+        time.sleep(0.1)
+    assert not shuffled(spark) - there
+
+
 def test_run_gives_the_last_stage(spark, stages):
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(stages[-1][2])

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Tables that this driver has made and not yet dropped.
 _made: dict[str, None] = {}
 
+#: With this setting, Spark deletes the shuffle files of a query when it ends, not when the driver's memory is next cleaned.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI: spark.checkpoint.dir; on a single machine a temporary folder where that is unset."""
@@ -53,10 +56,15 @@ def _quietly(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows as a table, and its path: this cuts the lineage, and a lost executor takes nothing with it. It goes when the driver ends, if not before."""
+    """The rows as a table, and its path: this cuts the lineage, and a lost executor takes nothing with it. It goes when the driver ends, if not before; the shuffle files of the write go with it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path), path
 
 

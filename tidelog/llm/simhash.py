@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import kept_table, lookup, row_key, stay, texts_of, unit, with_fields
+from tidelog.llm.common import drop, finished, kept_table, lookup, row_key, stay, stored, texts_of, unit, with_fields
 from tidelog.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -220,6 +220,8 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grou
 
 #: Similar texts: sets of five-word shingles with a Jaccard similarity of 4 / 5 or more. The order of shingles is learnt from about SAMPLED texts: those that OFTEN or more of them hold come last, LISTED of these at most.
 SIMILAR_SHINGLE, SAMPLED, OFTEN, LISTED = 5, 8000, 3, 100_000
+#: Shingles of their prefixes that a pair must share to be a candidate, where its sizes do not ask for fewer.
+SHARED = 8
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -260,7 +262,9 @@ def _frequent(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(sets: DataFrame, listed: np.ndarray, times: np.ndarray) -> DataFrame:
-    """(a, b), a < b: the pairs of nodes of sets (node, size, prefix) that share a shingle of their prefixes and may be similar by its places there; every similar pair is among them.
+    """(a, b), a < b: the pairs of nodes of sets (node, size, prefix) that share enough shingles of their prefixes and may be similar by the places of these there; every similar pair is among them.
+
+    A similar pair shares c = 4 / 9 of both sizes at least. Of these, all but those that stand behind the prefix stand in the prefix of the set whose prefix ends first, and so in both prefixes: one at least, a tenth of the texts if these are of one size. So it is asked for as many, up to SHARED; texts that share a shingle by chance, whose number grows with the square of the table, seldom do.
 
     A shingle is a cell. One that more than BLOCK texts are expected to have is compared block against block, each pair of blocks on its own.
     """
@@ -305,12 +309,14 @@ def candidates(sets: DataFrame, listed: np.ndarray, times: np.ndarray) -> DataFr
                 i = np.repeat(np.arange(start, stop), n)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
                 start = stop
-                # of a similar pair's first shared shingle, what both have from there on is all that they share
-                may = is_similar(np.minimum(size[i] - at[i], size[j] - at[j]), size[i], size[j]) & ((side[i] != side[j]) | (side[i] == 0))
-                i, j = i[may], j[may]
+                common = (4 * (size[i] + size[j]) + 8) // 9
+                need = np.minimum(common - (4 * np.maximum(size[i], size[j]) + 4) // 5 + 1, SHARED)
+                # from each of a similar pair's first shared shingles on, both have all that they share but for the ones before
+                may = (np.minimum(size[i] - at[i], size[j] - at[j]) > common - need) & (need > 0) & ((side[i] != side[j]) | (side[i] == 0))
+                i, j, need = i[may], j[may], need[may]
                 if len(i):
-                    both = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                    both, times = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), need]), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, both), pa.array(times)], ["a", "b", "need", "n"])
 
         held: list[np.ndarray] = []
         for batch in batches:
@@ -328,7 +334,7 @@ def candidates(sets: DataFrame, listed: np.ndarray, times: np.ndarray) -> DataFr
             yield from pairs(np.concatenate(held, axis=1))
 
     members = sets.select("node", "size", "prefix").mapInArrow(cells, "cell long, node long, packed long")
-    return members.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(compare, "a long, b long").distinct()
+    return members.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(compare, "a long, b long, need long, n long").groupBy("a", "b", "need").agg(F.sum("n").alias("n")).where("n >= need").select("a", "b")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -338,26 +344,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def bins(members: np.ndarray) -> bytes:
-    """A set in 16 bits a member: the bin of each, sorted."""
-    return np.sort((members & np.uint64(0xFFFF)).astype("<u2")).tobytes()
+    """A set in one to two bits a member: whether an odd number of them falls into each of a power of two of bins."""
+    n = max(64, 1 << (len(members) - 1).bit_length()) if len(members) else 64
+    return np.packbits(np.bincount((members & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1, bitorder="little").tobytes()
 
 
 def _possible(pairs: DataFrame, binned: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets may be similar by their bins (node, size, bins): sets share no more members than their bins have in common, so no similar pair goes."""
+    """Those of pairs (a, b) whose sets may be similar by their bins (node, size, bins): each bin that differs holds a member that only one of the sets has, so no similar pair goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, left = None, np.empty(0, np.int64)
         for batch in batches:
-            a, sizes, others = batch.column(0).to_pylist(), *(batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-            first, second, common = batch.column(4), batch.column(5), np.zeros(len(batch), np.int64)
-            for k, node in enumerate(a):
-                if node != seen:
-                    seen, left = node, np.bincount(np.frombuffer(first[k].as_buffer(), "<u2"), minlength=1 << 16)
-                right = np.frombuffer(second[k].as_buffer(), "<u2")
-                ends = np.append(np.flatnonzero(right[1:] != right[:-1]) + 1, len(right)) if len(right) else np.empty(0, np.int64)
-                common[k] = np.minimum(left[right[ends - 1]], np.diff(ends, prepend=0)).sum()
-            hit = pa.array(is_similar(common, sizes.astype(np.int64), others.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], ["a", "b"])
+            a, b, sizes, others = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+            first, second = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            lengths, kind = np.unique(np.array([(len(x), len(y)) for x, y in zip(first, second, strict=True)], np.int64).reshape(-1, 2), axis=0, return_inverse=True)
+            apart = np.zeros(len(a), np.int64)
+            for k, (m, n) in enumerate(lengths.tolist()):
+                at, least = np.flatnonzero(kind == k), min(m, n)
+                for some in np.array_split(at, -(-len(at) * max(m, n) // 4_000_000)):
+                    # bins of the larger set that are one in the smaller one's are put together
+                    left, right = (np.bitwise_xor.reduce(np.frombuffer(b"".join(x[r] for r in some), np.uint64).reshape(len(some), -1, least // 8), axis=1) for x in (first, second))
+                    apart[some] = np.bitwise_count(left ^ right).sum(axis=1)
+            hit = is_similar((sizes + others - apart) // 2, sizes, others)
+            yield pa.RecordBatch.from_arrays([pa.array(a[hit]), pa.array(b[hit])], ["a", "b"])
 
     one, other = (binned.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab")
     return pairs.join(other, "b").join(one, "a").select("a", "b", "size_a", "size_b", "bins_a", "bins_b").mapInArrow(run, "a long, b long")
@@ -388,38 +396,60 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prints: bool = False) -> DataFrame:
     """The rows of docs, all columns, one of each group of similar texts: that with the smallest doc_id, null last; of rows that tie, one.
 
-    Similar are texts whose sets of five-word shingles (64-bit hashes) have a Jaccard similarity of 0.8 or more, and with prints also those that simhash_components() links; a group is what such links connect. Candidates come from an exact prefix filter and are verified by a count of their shingles, those that their shingles' 16-bit bins rule out aside, so no pair is missed and none is guessed. Null and empty texts are similar to each other only; columns of docs may have any names; an empty table gives no rows.
+    Similar are texts whose sets of five-word shingles (64-bit hashes) have a Jaccard similarity of 0.8 or more, and with prints also those that simhash_components() links; a group is what such links connect. Candidates come from an exact prefix filter and are verified by a count of their shingles, those that their shingles' bins rule out aside, so no pair is missed and none is guessed. Null and empty texts are similar to each other only; columns of docs may have any names; an empty table gives no rows.
     """
+    return stay(docs, finished(docs.sparkSession, "stays", lambda: _similar_stays(docs, doc_id, text, prints))[0])
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """similar_dedup() of what near_dedup() leaves; of the tables between, the keys of the rows that stay are all that is left."""
+    spark = docs.sparkSession
+    linked, path = finished(spark, "linked", lambda: near_dedup(docs, doc_id, text))
+    keys, _ = finished(spark, "stays", lambda: _similar_stays(linked, doc_id, text))
+    drop(spark, path)
+    return stay(docs, keys)
+
+
+def _similar_stays(docs: DataFrame, doc_id: str, text: str, prints: bool = False) -> DataFrame:
+    """The row_key (a, b) of the rows that similar_dedup() keeps. Tables go as soon as they are of no more use."""
+    spark = docs.sparkSession
     a, b = row_key(docs)
     slim = docs.select(F.col(doc_id).alias("doc_id"), a.alias("a"), b.alias("b"), F.col(text).cast("binary").alias("text"))
     listed, times = _frequent(slim.select(F.col("a").alias("node"), "text"), docs.count())
-    shared = docs.sparkSession.sparkContext.broadcast((listed, times))
+    shared = spark.sparkContext.broadcast((listed, times))
     kind = slim.schema["doc_id"].dataType.simpleString()
     seed = SEED - 1
     while True:
         seed += 1
         made = slim.mapInArrow(_sets(shared, seed, prints), f"doc_id {kind}, a long, b long, node long, sure long, fp long, size long, bins binary, prefix array<long>")
-        rows = kept_table(made, "sets")
+        rows, path = stored(made, "sets")
         one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
         # equal sets are one node; two hashes tell whether it is one set
-        nodes = kept_table(rows.groupBy("node").agg(F.min(one).alias("one"), (F.min("sure") != F.max("sure")).alias("clash")), "nodes")
+        nodes, where = stored(rows.groupBy("node").agg(F.min(one).alias("one"), (F.min("sure") != F.max("sure")).alias("clash")), "nodes")
         if nodes.where("clash").isEmpty():
             break
+        drop(spark, path)
+        drop(spark, where)
     pairs = kept_table(candidates(rows, listed, times), "pairs")
     ends_of = lambda some: some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
     # a set's bins come from the row that stands for the node
     binned = kept_table(rows.select("node", "a", "b", "size", "bins").join(nodes.join(ends_of(pairs), "node", "left_semi").select("node", "one.a", "one.b"), ["node", "a", "b"]).dropDuplicates(["node"]).select("node", "size", "bins"), "bins")
+    printed = finished(spark, "printed", lambda: _print_links(rows))[0] if prints else None
+    drop(spark, path)
 
     def similar(some: DataFrame) -> DataFrame:
-        likely = kept_table(_possible(some, binned), "likely")
-        wanted = nodes.join(ends_of(likely), "node", "left_semi").select("node", "one.a", "one.b")
-        texts = kept_table(slim.select("a", "b", "text").join(wanted, ["a", "b"]).select("node", "text").dropDuplicates(["node"]), "texts")
-        return _verified(likely, texts)
+        def verified() -> DataFrame:
+            likely = kept_table(_possible(some, binned), "likely")
+            wanted = nodes.join(ends_of(likely), "node", "left_semi").select("node", "one.a", "one.b")
+            texts = kept_table(slim.select("a", "b", "text").join(wanted, ["a", "b"]).select("node", "text").dropDuplicates(["node"]), "texts")
+            return _verified(likely, texts)
+
+        return finished(spark, "similar", verified)[0]
 
     # each node with one other first: that links most of a large group, whose other pairs then need no look
     star = kept_table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
     near = similar(star)
-    near = kept_table(near.union(_print_links(rows)) if prints else near, "near")
+    near = near.union(printed) if prints else near
     roots = components(near)
     ends = pairs.join(star, ["a", "b"], "left_anti")
     for end in ("a", "b"):
@@ -428,8 +458,7 @@ def similar_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     if not rest.isEmpty():
         roots = components(near.union(similar(rest)))
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = grouped.groupBy("root").agg(F.min("one").alias("one")).select("one.a", "one.b")
-    return stay(docs, kept_table(stays, "stays"))
+    return grouped.groupBy("root").agg(F.min("one").alias("one")).select("one.a", "one.b")
 
 
 def _print_links(rows: DataFrame) -> DataFrame:
