@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.helpers import IN, NOW, ZONE, messages, opened
 from tidelog.operators import fold
 from tidelog.plans.engine import NoMatchingProfile, detect
-from tidelog.sources.adapters import ContainerError, claiming, instant_of
+from tidelog.sources.adapters import ADAPTERS, ContainerError, claiming, instant_of
 from tidelog.sources.generator import generate
 from tidelog.sources.lines import File, lines
 from tidelog.sources.profiles import ProfileError, Registry, bundled_names, compile_profile, copy_template
@@ -221,6 +221,38 @@ def test_logcat_export(spark, tmp_path):
     assert claiming("{").name == "Android Studio logcat" and claiming('{"a":1}').name == "JSON lines" and claiming("x") is None
 
 
+def logcat_of(n):
+    return [{"header": {"logLevel": "WARN", "pid": k, "tid": 1, "applicationId": "a", "processName": "p", "tag": "t", "timestamp": {"seconds": 1786963735 + k, "nanos": 0}}, "message": f"m{k} " + ['}],[{ "q\\" \\', 'plain', "\\" * (k % 5), "é}\n{"][k % 4]} for k in range(n)]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("size", ["300", "10m"])
+def test_logcat_export_in_many_blocks(spark, tmp_path, indent, size):
+    """No row holds the document, with lines or without; braces in texts, other arrays and cut records change nothing."""
+    messages = logcat_of(40)
+    doc = {"before": [{"message": "no"}, 1, []], "a}b": "}]", "metadata": {"x": [{"logcatMessages": [{}]}]}, "logcatMessages": messages, "after": [{"message": "no"}], "s": "logcatMessages", "z": {"y": 1}}
+    path = tmp_path / "x.logcat"
+    path.write_text("{\n" + json.dumps(doc, indent=indent, ensure_ascii=False)[1:] + "\n" * (indent or 0))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found, where = ADAPTERS[1]._messages(spark, File(0, "x.logcat", str(path)))
+        got = [json.loads(r["text"]) for r in found.orderBy("block", "at").collect()]
+        assert got == messages
+        rows = spark.read.parquet(where)
+        assert rows.agg(F.max(F.octet_length("text"))).first()[0] < 1000 and (rows.where("kind = 4").count() > 10) == (size == "300")
+        for text in ("{\n" + json.dumps(doc)[1:-1], "{\n" + json.dumps(doc)[1:] + "}", '{\n"logcatMessages":[{"a":]}'):
+            path.write_text(text)
+            with pytest.raises(ContainerError):
+                ADAPTERS[1]._messages(spark, File(0, "x.logcat", str(path)))
+        path.write_text('{\n"logcatMessages":[{"header" 1}]}')
+        with pytest.raises(ContainerError, match="no JSON objects"):
+            ADAPTERS[1].convert(spark, File(0, "x.logcat", str(path)), ZONE)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_profiles(spark, tmp_path):
     assert len(bundled_names()) == 6 and not Registry.bundled(ZONE, NOW).problems
     with pytest.raises(ProfileError) as error:

@@ -300,7 +300,7 @@ def open_source(spark: SparkSession, paths: Sequence[str], registry: Registry |
     sample, first = stored(heads(spark, files, most), "heads")
     claimed = {r["file_id"]: r["adapter"] for r in sample.where("line_no = 1 AND adapter IS NOT NULL").select("file_id", "adapter").collect()}
     sample = sample.where("adapter IS NULL AND line_no IS NOT NULL").select("file_id", "line_no", "text")
-    texts, pinned, converted = {}, {}, {}
+    texts, pinned, converted, made_at = {}, {}, {}, []
     for r in spark.read.parquet(first).where("line_no IS NULL").select("file_id").collect():  # of a store that only Spark reads
         file = files[r["file_id"]]
         if adapter := adapters.claiming(adapters.first_line(spark, file.path)):
@@ -311,6 +311,7 @@ def open_source(spark: SparkSession, paths: Sequence[str], registry: Registry |
         tell("Converting", done, len(claimed))
         made = next(a for a in adapters.ADAPTERS if a.profile == name).convert(spark, files[k], zone)
         texts[k], pinned[k], converted[files[k].name] = made.lines, name, made.note
+        made_at += [made.path] if made.path else []
         sample = sample.unionByName(made.lines.where(F.col("line_no") <= most).select("file_id", F.col("line_no").cast("int").alias("line_no"), "text"))
     tell("Converting", len(claimed), len(claimed))
     tell("Detecting", 0, len(files))
@@ -346,6 +347,8 @@ def open_source(spark: SparkSession, paths: Sequence[str], registry: Registry |
     for part in parts[1:]:
         every = every.unionByName(part)
     read, at = stored(fold.parsed(every, profile), "lines")
+    for path in made_at:
+        drop(spark, path)
     classified = fold.classify_parsed(read, profile)
     tell("Indexing", len(accepted), len(accepted))
     tell("Merging", 0, len(accepted))
