@@ -137,6 +137,19 @@ def test_rows_that_tie_are_cut_between(make):
     assert sum(r["taken"] for r in rows) == pytest.approx(rows[0]["target"], abs=7) and {r["copies"] for r in rows} == {0, 1}
 
 
+def test_the_tables_of_the_mix_are_plain(larger, monkeypatch):
+    """Each join of a table is planned, compiled and broadcast by the driver, once for each cut: two of them at most."""
+    joins, real = [], mixing.kept_table
+
+    def counted(df, name):
+        joins.append((df._jdf.queryExecution().optimizedPlan().toString().count("Join "), name))
+        return real(df, name)
+
+    monkeypatch.setattr(mixing, "kept_table", counted)
+    mixing.mixed(larger)
+    assert len([n for _, n in joins if n == "cuts"]) > 2 and max(joins)[0] <= 2
+
+
 def test_mix_odd(odd, nothing):
     out = mixing.pareto_mix(odd).collect()
     assert len(out) == odd.count()

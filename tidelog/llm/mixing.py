@@ -46,7 +46,7 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, most: float
     With a level l, targets are least(most * size, l * weight); l is where they sum up. It is found from below: what the sources at their bound leave, by weight among the others, until no further source reaches its bound.
     """
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("nth") % len(weights) + 1).cast("int"))
-    ranked = kept_table(_numbered(sources).withColumn("weight", w).withColumn("bound", F.col("source_size") * float(most)), "weights")
+    ranked = _numbered(sources).withColumn("weight", w).withColumn("bound", F.col("source_size") * float(most))
     full, level = -1, 0.0
     while True:
         stopped = F.col("bound") <= F.lit(level) * F.col("weight")
@@ -81,7 +81,7 @@ def _same(a: DataFrame, b: DataFrame, how: str = "inner", *also: str) -> DataFra
 
 
 def inclusion(classes: DataFrame, most: float = MOST, by_length: float = BY_LENGTH) -> DataFrame:
-    """source, length, certain and p from (source, length, words, target), a row for each class of length of a source: whole copies, and the share of one more."""
+    """classes (source, length, words, target, and what else they have), a row for each class of length of a source, with certain and p: whole copies, and the share of one more."""
     g = F.pow(F.lit(2.0), F.lit(float(by_length)) * F.greatest("length", F.lit(0)))
     known = classes.withColumn("g", g).withColumn("weight", F.col("g") * F.col("words")).withColumn("bound", F.col("words") * float(most))
     by_room = Window.partitionBy("source").orderBy(F.desc("g"), "length")  # a class each: 64 at most
@@ -94,7 +94,7 @@ def inclusion(classes: DataFrame, most: float = MOST, by_length: float = BY_LENG
     copies = F.when(F.col("target") > 0, F.least(F.lit(float(most)), F.coalesce(F.col("level") * F.col("g"), F.lit(float(most))))).otherwise(F.lit(0.0))
     certain = F.floor(copies + _LEAST)
     p = F.greatest(copies - certain, F.lit(0.0))
-    return found.select("source", "length", certain.alias("certain"), F.when(p < _LEAST, F.lit(0.0)).otherwise(p).alias("p"))
+    return found.select(*classes.columns, certain.alias("certain"), F.when(p < _LEAST, F.lit(0.0)).otherwise(p).alias("p"))
 
 
 def _ranked(rows: DataFrame, plan: DataFrame, most: float) -> DataFrame:
@@ -105,28 +105,38 @@ def _ranked(rows: DataFrame, plan: DataFrame, most: float) -> DataFrame:
     return _same(rows, plan, "left", "length").withColumn("v", v).drop("p")
 
 
-def _cuts(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """source, low, high, most, gap, target and ends from (source, low, most, gap, target): up to which place, in the order of places after low, documents of at most `most` words fill the gap, and the gap that is then left; ends where all of them fit."""
-    place = F.struct("v", "_row")
-    open_ = _same(rows, state).where((F.col("size") > 0) & (F.col("size") <= F.col("most")) & (place > F.col("low")))
+def _cuts(ranked: DataFrame, state: DataFrame) -> DataFrame:
+    """source, slice, low, high, most, gap, target, ends and tied from (source, low, most, gap, target): up to which place, in the order of places after low, documents of at most `most` words fill the gap, and the gap that is then left; ends where all of them fit. Where several rows of a file block share the place of the cut they are tied, and high stands before them."""
+    open_ = (F.col("size") > 0) & (F.col("size") <= F.col("most")) & (F.struct("v", "_row") > F.col("low"))
     fields = ["low", "most", "gap", "target"]
-    by_slice = open_.groupBy("source", "slice").agg(F.sum("size").alias("words"), *(F.first(c).alias(c) for c in fields))
+    carried = [F.first(c).alias(c) for c in fields]
+    by_slice = _same(ranked, state).where(open_).groupBy("source", "slice").agg(F.sum("size").alias("words"), *carried)
     walked = by_slice.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("slice")))
     first = F.min(F.when(F.col("upto") > F.col("gap"), F.struct("slice", (F.col("gap") - F.col("upto") + F.col("words")).alias("left"))))
-    cut = kept_table(walked.groupBy("source").agg(*(F.first(c).alias(c) for c in fields), first.alias("cut"), F.sum("words").alias("words")), "cuts")
-    at = cut.where("cut IS NOT NULL").select("source", F.col("cut.slice").alias("slice"), F.col("cut.left").alias("left"))
-    inside = _same(open_.select("source", "slice", "size", "v", "_row"), at, "inner", "slice")
-    part = F.shiftright("_row", 33)
-    by_place = inside.groupBy("source", "v", part.alias("part")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+    cut = kept_table(walked.groupBy("source").agg(*carried, first.alias("cut"), F.sum("words").alias("words")), "cuts")
+    end = F.struct(F.lit(2.0).alias("v"), F.lit(0).cast("long").alias("_row"))
+    ended = cut.where("cut IS NULL").select("source", F.lit(None).cast("long").alias("slice"), "low", end.alias("high"), "most", (F.col("gap") - F.col("words")).alias("gap"), "target", F.lit(True).alias("ends"), F.lit(False).alias("tied"))
+    at = cut.where("cut IS NOT NULL").select("source", F.col("cut.slice").alias("slice"), F.col("cut.left").alias("left"), *fields)
+    inside = _same(ranked, at, "inner", "slice").where(open_)
+    by_place = inside.groupBy("source", "v", F.shiftright("_row", 33).alias("part")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.min("_row").alias("_row"), *(F.first(c).alias(c) for c in ("slice", "left")), *carried)
     walked = by_place.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("v", "part")))
-    spot = walked.where(F.col("upto") > F.col("left")).groupBy("source").agg(F.min(F.struct("v", "part", (F.col("left") - F.col("upto") + F.col("words")).alias("left"))).alias("spot"))
-    ties = _same(inside.drop("left"), spot).where((F.col("v") == F.col("spot.v")) & (part == F.col("spot.part")))
+    here = F.struct("v", "_row", "n", (F.col("left") - F.col("upto") + F.col("words")).alias("left"))
+    spot = F.min(F.when(F.col("upto") > F.col("left"), here))
+    found = walked.groupBy("source").agg(F.first("slice").alias("slice"), *carried, spot.alias("spot"))
+    high = F.struct(F.col("spot.v").alias("v"), (F.col("spot._row") - 1).alias("_row"))
+    return found.select("source", "slice", "low", high.alias("high"), "most", F.col("spot.left").alias("gap"), "target", F.lit(False).alias("ends"), (F.col("spot.n") > 1).alias("tied")).unionByName(ended)
+
+
+def _untied(ranked: DataFrame, cuts: DataFrame) -> DataFrame:
+    """cuts in which the tied rows after high are taken one by one as long as they fit."""
+    at = cuts.where("tied").select("source", "slice", "high", "most", "gap")
+    may = (F.col("size") > 0) & (F.col("size") <= F.col("most"))
+    after = (F.col("v") == F.col("high.v")) & (F.col("_row") > F.col("high._row")) & (F.shiftright("_row", 33) == F.shiftright(F.col("high._row") + 1, 33))
+    ties = _same(ranked, at, "inner", "slice").where(may & after)
     walked = ties.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)))
-    fits = F.col("upto") <= F.col("spot.left")
-    last = walked.groupBy("source").agg(F.struct(F.first("spot.v").alias("v"), F.coalesce(F.max(F.when(fits, F.col("_row"))), F.min("_row") - 1).alias("_row")).alias("high"), (F.first("spot.left") - F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0))).alias("rest"))
-    end = F.struct(F.lit(2.0).alias("v"), F.lit(0).cast("long").alias("_row"))
-    found = _same(cut, last, "left")
-    return found.select("source", "low", F.coalesce("high", end).alias("high"), "most", F.coalesce("rest", F.col("gap") - F.col("words")).alias("gap"), "target", F.col("high").isNull().alias("ends"))
+    last = walked.where(F.col("upto") <= F.col("gap")).groupBy("source").agg(F.max("_row").alias("last"), F.sum("size").alias("taken"))
+    high = F.struct(F.col("high.v").alias("v"), F.coalesce("last", "high._row").alias("_row"))
+    return _same(cuts, last, "left").select("source", "slice", "low", high.alias("high"), "most", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap"), "target", "ends", F.lit(False).alias("tied"))
 
 
 def _draw(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequence[float], most: float, share: float, seed: int, by_length: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -134,18 +144,19 @@ def _draw(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequenc
     rows = kept_table(measured(docs, doc_id, text, source, seed), "sizes")
     classes = kept_table(rows.groupBy("source", "length").agg(F.sum("size").alias("words")), "classes")
     sources = kept_table(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most, share), "targets")
-    known = _same(classes, sources)
-    plan = kept_table(_same(known, inclusion(known, most, by_length), "inner", "length").select("source", "length", "words", "source_size", "target", "certain", "p"), "plan")
+    plan = kept_table(inclusion(_same(classes, sources), most, by_length).select("source", "length", "words", "source_size", "target", "certain", "p"), "plan")
     n = rows.count()
     slices = max(1, n // max(SLICE, int(n**0.5)))
     slim = plan.select("source", "length", "certain", "p")
-    ranked = _ranked(rows, slim, most).where("v IS NOT NULL").select("source", "v", "_row", "size", F.floor(F.col("v") * slices).alias("slice"))
+    ranked = kept_table(_ranked(rows, slim, most).where("v IS NOT NULL").select("source", "v", "_row", "size", F.floor(F.col("v") * slices).alias("slice")), "ranked")
     start = F.struct(F.lit(-1.0).alias("v"), F.lit(0).cast("long").alias("_row"))
     gap = F.first("target") - F.sum(F.col("certain") * F.col("words"))
     state = kept_table(plan.groupBy("source").agg(gap.alias("gap"), F.first("target").alias("target")).where(F.col("gap") > _LEAST).select("source", start.alias("low"), F.lit(1 << 62).alias("most"), "gap", "target"), "gaps")
     found = []
     while not state.isEmpty():
         cuts = kept_table(_cuts(ranked, state), "cuts")
+        if not cuts.where("tied").isEmpty():
+            cuts = kept_table(_untied(ranked, cuts), "cuts")
         found.append(cuts.select("source", F.struct("low", "high", "most").alias("cut")))
         state = cuts.where(~F.col("ends") & (F.col("gap") >= 1) & (F.col("gap") > NEAR * F.col("target"))).select("source", F.col("high").alias("low"), F.floor("gap").alias("most"), "gap", "target")
     every = reduce(DataFrame.unionByName, found, plan.where("false").select("source", F.struct(start.alias("low"), start.alias("high"), F.lit(1 << 62).alias("most")).alias("cut")))
